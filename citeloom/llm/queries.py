@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citeloom.llm import matroska, mixing, near_dedup, packing, quality, sharding, token_counts, toxicity
+from citeloom.llm import katz, matroska, mixing, near_dedup, packing, quality, sharding, suffix_dedup, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,10 +26,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_near_dedup": _on_documents(near_dedup.query),
         "op2_packing": _on_documents(packing.query),
         "op3_quality": _on_documents(quality.query),
+        "op4_katz": _on_documents(katz.query),
         "op5_sharding": _on_documents(sharding.query),
         "op6_token_counts": _on_documents(token_counts.query),
         "op7_toxicity": op7_toxicity,
         "op8_mixing": _on_documents(mixing.query),
+        "op9_suffix_dedup": _on_documents(suffix_dedup.query),
         "op10_media": _on_documents(matroska.query),
     }
 
