@@ -234,7 +234,7 @@ def padded(text: bytes) -> bytes:
     return text + b"\xff" * (max(1, -(-len(text) // FRAME)) * FRAME - len(text))
 
 
-PACKETS = "packet_no int, track long, timestamp_ms long, byte_start long, byte_end long, keyframe boolean, lacing string, cluster int, error string"
+PACKETS = "packet_no integer, track long, timestamp_ms long, byte_start long, byte_end long, keyframe boolean, lacing string, cluster integer, error string"
 
 
 def packets(media: DataFrame, column: str = "media") -> DataFrame:
