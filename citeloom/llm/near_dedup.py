@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import WordHashes, materialize, shingle_hashes, utf8
+from citeloom.llm.common import WordHashes, materialize, mix64, shingle_hashes, utf8
 from citeloom.llm.graph import components
 
 K = 64
@@ -104,6 +104,53 @@ def estimated(pairs: DataFrame, classes: DataFrame, percent: int, k: int) -> Dat
     return rest.filter(F.col("hits") * 100 >= F.size("u") * loose).select("a", "b")
 
 
+FILTER_BITS = 1 << 28
+SLICE = 1 << 16
+
+
+def _positions(ids: np.ndarray, bits: int) -> np.ndarray:
+    h = mix64(ids.astype(np.int64).view(np.uint64))
+    return np.stack([h & np.uint64(bits - 1), h >> np.uint64(20) & np.uint64(bits - 1), h >> np.uint64(36) & np.uint64(bits - 1)])
+
+
+def with_ids(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts whose doc_id is among ids, and a few others, without a shuffle of texts.
+
+    A Bloom filter of the ids is broadcast: twelve bits an id, FILTER_BITS at most (32 MB), beyond
+    which more texts pass in vain. Slices of it are put together on the executors.
+    """
+    n = ids.count()
+    bits = min(FILTER_BITS, 1 << max(16, (12 * n).bit_length()))
+
+    def mark(batches):
+        field = np.zeros(bits, bool)
+        for batch in batches:
+            field[_positions(batch.column(0).to_numpy(zero_copy_only=False), bits)] = True
+        for i in range(0, bits, 8 * SLICE):
+            part = np.packbits(field[i : i + 8 * SLICE])
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([part.tobytes()], pa.binary())], names=["at", "part"])
+
+    def merge(table: pa.Table) -> pa.Table:
+        parts = [np.frombuffer(x, np.uint8) for x in table.column("part").to_pylist()]
+        return pa.table({"at": table.column("at")[:1], "part": pa.array([np.bitwise_or.reduce(parts).tobytes()], pa.binary())})
+
+    rows = ids.coalesce(16).mapInArrow(mark, "at long, part binary").groupBy("at").applyInArrow(merge, "at long, part binary").collect()
+    field = np.zeros(bits // 8, np.uint8)
+    for r in rows:
+        part = np.frombuffer(r["part"], np.uint8)
+        field[r["at"] // 8 : r["at"] // 8 + len(part)] = part
+
+    def keep(batches):
+        for batch in batches:
+            known = batch.filter(batch.column("doc_id").is_valid())
+            at = _positions(known.column("doc_id").to_numpy(zero_copy_only=False), bits).astype(np.int64)
+            hit = (field[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).all(axis=0)
+            yield known.filter(pa.array(hit))
+
+    return texts.mapInArrow(keep, texts.schema)
+
+
 def _rows(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple]:
     for batch in batches:
         cols = [utf8(batch.column(c)) if c == "text" else batch.column(c).to_pylist() for c in names]
@@ -216,7 +263,10 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, k: int = K)
     classes = materialize(least.select("set_key", F.col("x.doc_id").alias("rep"), F.col("x.n_shingles").alias("n"), F.col("x.sketch").alias("sketch")), "classes")
     pairs, families = candidates(materialize(lists(classes, percent, k), "lists"), percent)
     families = materialize(families, "families")
-    links = materialize(verified(materialize(estimated(pairs, classes, percent, k), "estimated"), texts, n, percent), "links")
+    pairs = materialize(estimated(pairs, classes, percent, k), "estimated")
+    involved = materialize(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(families.select(F.col("rep").alias("id"))).distinct(), "involved")
+    texts = materialize(with_ids(texts, involved), "texts")
+    links = materialize(verified(pairs, texts, n, percent), "links")
     labels = components(links)
     more = materialize(split_families(families, labels, texts, n, percent), "links")
     if not more.isEmpty():
