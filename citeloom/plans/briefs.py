@@ -12,6 +12,7 @@ from citeloom.operators import structure as S
 from citeloom.operators import toa as T
 from citeloom.plans import corpus as C
 from citeloom.registry import query
+from citeloom.sources.shared import checkpointed
 
 DENSE = "dense_linked"
 
@@ -239,7 +240,8 @@ def cite_gap_antijoin(spark, sf_dir):
 def resolved(spark: SparkSession, sf_dir: str, variant: str = DENSE) -> DataFrame:
     b = C.briefs(spark, sf_dir, variant).withColumn("_bounds", X.page_bounds(F.col("text")))
     m = E.reclassified(E.components(E.mentions(b)))
-    return R.resolve(m.withColumn("page", X.page_at(F.col("_bounds"), F.col("span_start"))).drop("_bounds"), "brief_id")
+    m = m.withColumn("page", X.page_at(F.col("_bounds"), F.col("span_start"))).drop("_bounds")
+    return R.resolve(checkpointed(m), "brief_id")  # read three times: extract once
 
 
 def resolved_sql(variant: str = DENSE) -> str:

@@ -1 +1,188 @@
-"""Queries."""
+"""Queries over opinions and web pages: tags, sentences, markers, anchors, walks."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from citeloom.functions import text as X
+from citeloom.operators import graph as H
+from citeloom.plans import corpus as C
+from citeloom.registry import query
+from citeloom.sources import sinks as K
+
+WHITE = "[ \t\n\f\r]"
+
+
+@query("html_strip_tags", rf"SELECT page_id, md5(t) AS digest, length(t) AS n FROM (SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS t FROM pages)")
+def html_strip_tags(spark, sf_dir):
+    t = C.table(spark, sf_dir, "pages").select("page_id", X.strip_tags(F.col("html")).alias("t"))
+    return t.select("page_id", F.md5("t").alias("digest"), F.length("t").cast("long").alias("n"))
+
+
+@query("html_links", """SELECT page_id, i AS ord, link FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS link, generate_subscripts(regexp_extract_all(html, 'href="([^"]*)"', 1), 1) AS i FROM pages)""")
+def html_links(spark, sf_dir):
+    found = X.spans(F.col("html"), r'href="[^"]*"')
+    rows = C.table(spark, sf_dir, "pages").select("page_id", F.posexplode(found).alias("i", "s"))
+    return rows.select("page_id", (F.col("i") + 1).cast("long").alias("ord"), F.regexp_extract("s.text", r'href="([^"]*)"', 1).alias("link"))
+
+
+@query("text_clean", r"SELECT doc_id, md5(t) AS digest, length(t) AS n FROM (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'), '__+', '', 'g') AS t FROM documents)")
+def text_clean(spark, sf_dir):
+    t = C.table(spark, sf_dir, "documents").select("doc_id", X.clean_text(F.col("text"), ["html", "all_whitespace", "underscores"]).alias("t"))
+    return t.select("doc_id", F.md5("t").alias("digest"), F.length("t").cast("long").alias("n"))
+
+
+SENTINEL = """regexp_replace(text, '([.?!])\\s+([A-Z"''“‘(0-9])', concat('\\1', chr(1), '\\2'), 'g')"""
+#: The fold as a reduction of strings: pieces are held apart by chr(1).
+FOLD = """list_reduce(list_filter(list_transform(string_split({s}, chr(1)), lambda x: trim(x)), lambda x: x <> ''), lambda a, x: CASE WHEN length(list_extract(string_split(a, chr(1)), -1)) < 20 THEN concat(a, ' ', x) ELSE concat(a, chr(1), x) END)"""
+
+
+@query(
+    "sentence_chunks",
+    f"SELECT doc_id, CASE WHEN length(z) < 20 AND n > 1 THEN n - 1 ELSE n END AS n_sentences, md5(CASE WHEN length(z) < 20 AND n > 1 THEN concat(substr(f, 1, length(f) - length(z) - 1), ' ', z) ELSE f END) AS digest FROM (SELECT doc_id, f, len(string_split(f, chr(1))) AS n, list_extract(string_split(f, chr(1)), -1) AS z FROM (SELECT doc_id, {FOLD.format(s=SENTINEL)} AS f FROM documents WHERE length(trim(text)) > 0)) WHERE f IS NOT NULL",
+)
+def sentence_chunks(spark, sf_dir):
+    s = C.table(spark, sf_dir, "documents").filter(F.length(F.trim("text")) > 0).select("doc_id", X.sentences(F.col("text")).alias("s")).filter(F.size("s") > 0)
+    return s.select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.md5(F.array_join("s", "\x01")).alias("digest"))
+
+
+# ---- opinions
+
+OPINIONS = C.opinions_sql()
+EDGES = C.edges_sql()
+
+
+@query("html_anchors", f"SELECT src AS opinion_id, ord, CASE WHEN NOT no_link THEN dst END AS dst, CASE WHEN NOT no_link THEN 10 + ord END AS page, CASE WHEN no_link THEN concat(1 + dst, ' U.S.C. 5') ELSE concat('Op ', dst) END AS text, no_link FROM ({EDGES})")
+def html_anchors(spark, sf_dir):
+    rows = C.opinions(spark, sf_dir).select("opinion_id", F.explode(H.anchors(F.col("html_with_citations"))).alias("a"))
+    return rows.select("opinion_id", F.col("a.ord").cast("long").alias("ord"), "a.dst", F.col("a.page").cast("long").alias("page"), "a.text", "a.no_link")
+
+
+@query("page_markers", f"SELECT src AS opinion_id, string_agg(CAST(100 + ord AS VARCHAR), ',' ORDER BY ord) AS markers FROM ({EDGES}) WHERE NOT no_link GROUP BY 1")
+def page_markers(spark, sf_dir):
+    m = C.opinions(spark, sf_dir).select("opinion_id", X.page_markers(F.col("html_with_citations")).alias("m")).filter("size(m) > 0")
+    return m.select("opinion_id", F.array_join(F.transform("m", lambda x: x.cast("string")), ",").alias("markers"))
+
+
+@query("page_span", f"SELECT src AS opinion_id, concat('*', 100 + ord, ' Point ', ord, ' holds. Op ', dst) AS head FROM ({EDGES}) WHERE ord = 3 AND NOT no_link")
+def page_span(spark, sf_dir):
+    p = C.opinions(spark, sf_dir).select("opinion_id", X.page_or_whole(F.col("html_with_citations"), F.lit(103)).alias("p")).filter("p.found")
+    return p.select("opinion_id", F.regexp_extract("p.plain", r"^(.*? holds\. Op [0-9]+)", 1).alias("head"))
+
+
+@query("pagination_mode", f"SELECT s AS opinion_id, CASE WHEN n = 0 THEN 'none' WHEN lo <= 103 AND 103 <= hi THEN 'reporter' ELSE 'slip_only' END AS mode FROM (SELECT src AS s, count(*) FILTER (WHERE NOT no_link) AS n, min(CASE WHEN NOT no_link THEN 100 + ord END) AS lo, max(CASE WHEN NOT no_link THEN 100 + ord END) AS hi FROM ({EDGES}) GROUP BY 1)")
+def pagination_mode(spark, sf_dir):
+    return C.opinions(spark, sf_dir).select("opinion_id", X.pagination_mode(F.col("html_with_citations"), F.lit(103)).alias("mode"))
+
+
+@query("pick_text", f"SELECT opinion_id, CASE WHEN opinion_id % 3 = 0 THEN 'plain_text' ELSE 'html_with_citations' END AS field, md5(CASE WHEN opinion_id % 3 = 0 THEN concat('Plain ', opinion_id) ELSE html_with_citations END) AS digest FROM ({OPINIONS})")
+def pick_text(spark, sf_dir):
+    o = C.opinions(spark, sf_dir).withColumn("blank", F.col("opinion_id") % 3 == 0)
+    t = o.select("opinion_id", H.pick_text(F.when(F.col("blank"), " ").otherwise(F.col("html_with_citations")), F.when(F.col("blank"), F.concat(F.lit("Plain "), F.col("opinion_id").cast("string"))), F.col("html")).alias("t"))
+    return t.select("opinion_id", "t.field", F.md5("t.text").alias("digest"))
+
+
+NON_CASE = "CASE p_partkey % 9 WHEN 0 THEN '17 U.S.C. 512, see Restatement' WHEN 1 THEN '37 C.F.R. 1' WHEN 2 THEN 'Fed. R. Civ. P. 12' WHEN 3 THEN 'Restatement (Second) of Torts' WHEN 4 THEN 'U.S. Const. amend. I' WHEN 5 THEN '120 Cong. Rec. 5' WHEN 6 THEN '90 Harv. L. Rev. 1' WHEN 7 THEN 'Nimmer § 13 (1990)' ELSE '12 F.3d 34' END"
+
+
+@query("classify_non_case", "SELECT p_partkey AS doc_id, CASE p_partkey % 9 WHEN 0 THEN 'cites_statute' WHEN 1 THEN 'cites_statute' WHEN 2 THEN 'cites_statute' WHEN 3 THEN 'cites_restatement' WHEN 4 THEN 'cites_constitution' WHEN 5 THEN 'cites_legislative_history' WHEN 6 THEN 'cites_law_review' WHEN 7 THEN 'cites_treatise' END AS kind FROM part")
+def classify_non_case(spark, sf_dir):
+    return C.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), H.classify_non_case(F.expr(NON_CASE)).alias("kind"))
+
+
+@query("find_sentence", f"SELECT src AS opinion_id, min(ord) AS ord FROM ({EDGES}) WHERE NOT no_link GROUP BY 1")
+def find_sentence(spark, sf_dir):
+    o = C.opinions(spark, sf_dir).withColumn("a", H.anchors(F.col("html_with_citations"))).withColumn("first", F.get(F.filter("a", lambda x: ~x["no_link"]), F.lit(0))).filter("first IS NOT NULL")
+    sentence = F.concat(F.lit("point "), F.col("first.ord").cast("string"), F.lit("  HOLDS. op "), F.col("first.dst").cast("string"))
+    hit = H.find_sentence(F.col("html_with_citations"), sentence)
+    return o.withColumn("s", hit).select("opinion_id", F.regexp_extract(F.expr("substring(html_with_citations, s.start + 1, 9)"), r"Point ([0-9]+)", 1).cast("long").alias("ord"))
+
+
+FROM_THIRD = f"SELECT src, min(ord) FILTER (WHERE NOT no_link AND dst <> src) AS a, min(ord) FILTER (WHERE no_link) AS l, min(ord) FILTER (WHERE NOT no_link AND dst = src) AS c, count(*) FILTER (WHERE NOT no_link AND dst <> src) AS n FROM ({EDGES}) WHERE ord >= 3 GROUP BY src"
+
+
+@query("anchor_window", f"SELECT src AS opinion_id, count(*) AS n FROM ({EDGES}) WHERE ord >= 3 GROUP BY 1")
+def anchor_window(spark, sf_dir):
+    o = C.opinions(spark, sf_dir).withColumn("a", H.anchors(F.col("html_with_citations")))
+    at = F.get("a", F.lit(2))["offset"]
+    w = o.filter(F.size("a") >= 3).select("opinion_id", F.size(H.window(F.col("a"), at, at + 10)).cast("long").alias("n"))
+    return w
+
+
+@query("anchor_next_hop", f"SELECT t.src AS opinion_id, e.dst AS next, CASE WHEN a IS NOT NULL THEN n - 1 ELSE 0 END AS n_siblings, CASE WHEN a IS NOT NULL THEN NULL WHEN l IS NOT NULL THEN 'cites_statute' WHEN c IS NOT NULL THEN 'cycle_detected' ELSE 'no_outbound_for_proposition' END AS terminal FROM ({FROM_THIRD}) t LEFT JOIN ({EDGES}) e ON e.src = t.src AND e.ord = t.a")
+def anchor_next_hop(spark, sf_dir):
+    o = C.opinions(spark, sf_dir).withColumn("a", H.anchors(F.col("html_with_citations"))).filter(F.size("a") >= 3)
+    at = F.get("a", F.lit(2))["offset"]
+    r = o.select("opinion_id", H.next_hop(H.window(F.col("a"), at, at + 10), F.array("opinion_id")).alias("r"))
+    return r.select("opinion_id", "r.next", F.size("r.siblings").cast("long").alias("n_siblings"), "r.terminal")
+
+
+# ---- walks
+
+SEEDS = 20
+ADJ = f"SELECT src, list(dst ORDER BY ord) AS nbrs FROM (SELECT src, dst, min(ord) AS ord FROM ({EDGES}) WHERE NOT no_link GROUP BY 1, 2) GROUP BY src"
+STEPS = f"""WITH RECURSIVE adj AS ({ADJ}), w AS (
+  SELECT src AS root, [src] AS path FROM ({EDGES}) WHERE src < {SEEDS} GROUP BY src
+  UNION ALL
+  SELECT root, list_append(path, t) FROM (SELECT w.root, w.path, list_extract(list_filter(nbrs, lambda x: NOT list_contains(w.path, x)), 1) AS t FROM w JOIN adj ON adj.src = list_extract(w.path, -1) WHERE len(w.path) <= {H.MOST_HOPS}) WHERE t IS NOT NULL)"""
+WALKS = f"{STEPS} SELECT root, arg_max(path, len(path)) AS path FROM w GROUP BY root"
+
+
+def _walks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    edges = C.edges(spark, sf_dir)
+    return H.walk(edges, C.opinions(spark, sf_dir).filter(F.col("opinion_id") < SEEDS).select("opinion_id")), edges
+
+
+@query("chain_walk", f"SELECT root, i - 1 AS hop_index, list_extract(path, i) AS opinion_id, CASE WHEN i > 1 THEN list_extract(path, i - 1) END AS parent FROM ({WALKS}) q, generate_series(1, 50) g(i) WHERE i <= len(path)")
+def chain_walk(spark, sf_dir):
+    h = H.hops(_walks(spark, sf_dir)[0])
+    return h.select("root", F.col("hop_index").cast("long").alias("hop_index"), "opinion_id", "parent")
+
+
+ENDS = f"""SELECT root, len(path) - 1 AS hops, last, CASE WHEN coalesce(len(free), 0) > 0 THEN 'hop_limit' WHEN coalesce(laws, 0) > 0 THEN 'cites_statute' WHEN coalesce(len(linked), 0) > 0 THEN 'cycle_detected' ELSE 'no_outbound_for_proposition' END AS terminal_reason, path, linked FROM (
+  SELECT *, list_filter(linked, lambda x: NOT list_contains(path, x)) AS free FROM (SELECT root, path, list_extract(path, -1) AS last FROM ({WALKS}) q) LEFT JOIN (SELECT src, list(DISTINCT dst) FILTER (WHERE NOT no_link) AS linked, count(*) FILTER (WHERE no_link) AS laws FROM ({EDGES}) GROUP BY src) ON src = last)"""
+
+
+@query("chain_terminals", f"SELECT root, hops, last, terminal_reason FROM ({ENDS}) z")
+def chain_terminals(spark, sf_dir):
+    return H.terminals(*_walks(spark, sf_dir)).select("root", F.col("hops").cast("long").alias("hops"), "last", "terminal_reason")
+
+
+@query("chain_cycles", f"SELECT root, list_aggregate(linked, 'min') AS closes_at FROM ({ENDS}) z WHERE terminal_reason = 'cycle_detected'")
+def chain_cycles(spark, sf_dir):
+    t = H.terminals(*_walks(spark, sf_dir)).filter("terminal_reason = 'cycle_detected'")
+    return t.select("root", F.element_at("cycle_path", -1).alias("closes_at"))
+
+
+@query("chain_suggestions", "SELECT reason, advice FROM (VALUES " + ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in H.SUGGESTIONS.items()) + ") t(reason, advice)")
+def chain_suggestions(spark, sf_dir):
+    reasons = spark.sql("SELECT explode(array(" + ", ".join(f"'{k}'" for k in H.SUGGESTIONS) + ")) AS reason")
+    return reasons.select("reason", H.suggestion(F.col("reason")).alias("advice"))
+
+
+@query("chain_checkpoints", f"SELECT root, i - 1 AS hop_index, (i - 1) // 8 AS checkpoint_no FROM ({WALKS}) q, generate_series(1, 50) g(i) WHERE i <= len(path)")
+def chain_checkpoints(spark, sf_dir):
+    c = H.checkpoints(H.hops(_walks(spark, sf_dir)[0]))
+    return c.select("root", F.col("hop_index").cast("long").alias("hop_index"), F.col("checkpoint_no").cast("long").alias("checkpoint_no"))
+
+
+@query("chain_methodology", f"SELECT count(DISTINCT list_extract(path, i)) AS opinions_fetched, count(*) FILTER (WHERE i > 1) AS hops, count(DISTINCT root) AS walks FROM ({WALKS}) q, generate_series(1, 50) g(i) WHERE i <= len(path)")
+def chain_methodology(spark, sf_dir):
+    return H.methodology(H.hops(_walks(spark, sf_dir)[0])).select("opinions_fetched", "hops", "walks")
+
+
+REACH = f"""WITH RECURSIVE r AS (SELECT DISTINCT src AS root, src AS opinion_id, 0 AS level FROM ({EDGES}) WHERE src < 5 UNION SELECT r.root, e.dst, r.level + 1 FROM r JOIN ({EDGES}) e ON e.src = r.opinion_id AND NOT e.no_link WHERE r.level < 3)"""
+
+
+@query("chain_forest", f"{REACH} SELECT root, opinion_id, min(level) AS level FROM r GROUP BY 1, 2")
+def chain_forest(spark, sf_dir):
+    seeds = C.opinions(spark, sf_dir).filter("opinion_id < 5").select("opinion_id")
+    return H.forest(C.edges(spark, sf_dir), seeds, 3).select("root", "opinion_id", F.col("level").cast("int").alias("level"))
+
+
+@query("chain_report", f"SELECT root, concat('Chain of ', hops, ' hops, ends: ', terminal_reason) AS summary FROM ({ENDS}) z")
+def chain_report(spark, sf_dir):
+    walks, edges = _walks(spark, sf_dir)
+    text = K.chain_markdown(H.hops(walks), H.terminals(walks, edges))
+    return text.select("root", F.split("text", "\n")[0].alias("summary"))
