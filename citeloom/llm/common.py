@@ -70,6 +70,58 @@ def shingle_hashes(h: np.ndarray, n: int) -> np.ndarray:
     return mix64(out + np.uint64(n))
 
 
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BYTES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_STEP = 0xD1342543DE82EF95
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _power_tables(n: int) -> list[np.ndarray]:
+    """Powers of _STEP and of its inverse modulo 2**64, n at least."""
+    if len(_powers[0]) < n:
+        for i, base in enumerate((_STEP, pow(_STEP, -1, 1 << 64))):
+            x = np.full(n, base, np.uint64)
+            x[0] = 1
+            _powers[i] = np.cumprod(x, dtype=np.uint64)
+    return _powers
+
+
+class Words:
+    """Words of texts, A-Z lower case, found and hashed all at once: no object for each word.
+
+    buffer holds the texts one after the other; word i is buffer[start[i]:end[i]], hash[i] its 64-bit
+    hash, and text t has the words from first[t] to first[t + 1].
+    """
+
+    def __init__(self, texts: list[bytes | None]):
+        self.buffer = b"\n".join([t or b"" for t in texts]).lower() + b"\n"
+        raw = np.frombuffer(self.buffer, np.uint8)
+        space = _SPACE[raw]
+        change = np.flatnonzero(space[1:] != space[:-1]) + 1
+        if not space[0]:
+            change = np.concatenate([[0], change])
+        self.start, self.end = change[::2], change[1::2]
+        powers, inverse = _power_tables(len(raw))
+        total = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(_BYTES[raw] * powers[: len(raw)], dtype=np.uint64, out=total[1:])
+        self.hash = mix64((total[self.end] - total[self.start]) * inverse[self.start] + (self.end - self.start).astype(np.uint64))
+        stops = np.cumsum([len(t or b"") + 1 for t in texts])
+        self.first = np.concatenate([[0], np.searchsorted(self.start, stops)]).astype(np.int64)
+
+
+def pieces_of(texts: list[bytes | None], size: int = 1_000_000):
+    """(from, to) of runs of texts of about `size` bytes."""
+    at = held = 0
+    for i, t in enumerate(texts):
+        held += len(t or b"") + 1
+        if held >= size:
+            yield at, i + 1
+            at, held = i + 1, 0
+    if at < len(texts):
+        yield at, len(texts)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only where none is configured."""
     configured = spark.conf.get("spark.checkpoint.dir", None)

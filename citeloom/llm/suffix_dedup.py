@@ -30,12 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citeloom.llm.common import WordHashes, materialize, mix64, utf8
+from citeloom.llm.common import Words, materialize, mix64, pieces_of, utf8
 from citeloom.llm.exchange import ANSWER, QUESTION, ask, gather, get, messages, put, with_answers
 
 LEAST = 50
 GRAM = 20
-BLOCK_BYTES = 24_000_000
+BLOCK_BYTES = 8_000_000
 PART_KEYS = 2_000_000
 SUFFIXES, WINDOWS = 1, 2
 ADDED = "n_words long, n_cut long, spans array<struct<start:long,end:long>>"
@@ -43,7 +43,6 @@ ADDED = "n_words long, n_cut long, spans array<struct<start:long,end:long>>"
 _FACTOR = 0x9E3779B97F4A7C15
 _INVERSE = pow(_FACTOR, -1, 1 << 64)
 _WORD = re.compile(rb"[^ \t-\r]+")
-_hashes = WordHashes()
 
 
 def blocks(docs: DataFrame) -> DataFrame:
@@ -103,11 +102,12 @@ class Block:
     def __init__(self, number: int, data: bytes, least: int):
         self.number, self.table = number, pa.ipc.open_stream(data).read_all()
         self.texts = [x for x in utf8(self.table.column("text"))]
-        split = [x.lower().split() if x else [] for x in self.texts]
-        self.lengths = np.array([len(w) for w in split], np.int64)
+        found = [Words(self.texts[a:b]) for a, b in pieces_of(self.texts)]
+        self.lengths = np.concatenate([np.diff(w.first) for w in found]) if found else np.empty(0, np.int64)
         self.first = np.concatenate([[0], np.cumsum(self.lengths)])[:-1]
-        h = np.concatenate([_hashes.of(w) for w in split]) if split else np.empty(0, np.uint64)
-        self.document = np.repeat(np.arange(len(split)), self.lengths)
+        h = np.concatenate([w.hash for w in found]) if found else np.empty(0, np.uint64)
+        del found
+        self.document = np.repeat(np.arange(len(self.texts)), self.lengths)
         room = np.repeat(self.first + self.lengths, self.lengths) - np.arange(len(h))
         gram = min(GRAM, least)
         suffix = grams(h, gram)
