@@ -20,9 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citeloom.llm.common import materialize, ranked, utf8
+from citeloom.llm.common import Words, materialize, pieces_of, ranked, utf8
 
 SIZE = 4096
+CHUNK = 4_000_000
 END = 2
 
 
@@ -32,30 +33,93 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+# ASCII punctuation.
+_MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
 class WordIds(dict):
     """word -> its token ids as little-endian 32-bit integers.
 
     The tokeniser drops white space and never joins across it, so a text's ids are its words' ids in
-    order. Strings of special tokens are ordinary text. At most `most` words are remembered.
+    order. A word of letters with punctuation behind is two such runs, so most words are put together
+    from the ids of their letters and of their punctuation. Strings of special tokens are ordinary
+    text. At most `most` words and as many runs of letters are remembered.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 800_000):
         super().__init__()
         from tokenizers import Tokenizer
 
         self.most = most
+        self.runs: dict[bytes, bytes] = {b"": b""}
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a run
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def ids(self, texts: list[bytes | None], end: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of texts, each followed by `end`, and where each text begins (and the last one ends)."""
+        w = Words(texts)
+        _, lead, at = np.unique(w.hash, return_index=True, return_inverse=True)
+        distinct = [w.buffer[s:e] for s, e in zip(w.start[lead].tolist(), w.end[lead].tolist())]
+        self.learn(set(distinct))
+        found = [self[x] for x in distinct]
+        table = np.frombuffer(b"".join(found), "<u4")
+        counts = np.array([len(x) // 4 for x in found], np.int64)
+        begin = np.cumsum(counts) - counts
+        n = counts[at]  # ids of each word
+        to = np.cumsum(n)
+        before = np.concatenate([[0], to])
+        text = np.repeat(np.arange(len(texts)), np.diff(w.first))  # of each word
+        place = np.arange(before[-1])
+        out = np.full(before[-1] + len(texts), end, "<u4")
+        out[place + np.repeat(text, n)] = table[place + np.repeat(begin[at] - to + n, n)]
+        return out, before[w.first] + np.arange(len(texts) + 1)
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn_runs(self, runs: list[bytes]) -> None:
+        """Runs of letters are encoded many at a time, as one text, and told apart by their last tokens."""
+        if len(self.runs) + len(runs) > self.most:
+            self.runs = {b"": b""}
+        for i in range(0, len(runs), 50_000):
+            lines = [runs[j : j + 500] for j in range(i, min(i + 50_000, len(runs)), 500)]
+            for line, ids in zip(lines, self._encode([b" ".join(x).decode() for x in lines])):
+                cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
+                if len(cuts) != len(line):
+                    raise ValueError("the vocabulary does not end each run of letters with one token")
+                flat, at = ids.tobytes(), 0
+                for run, to in zip(line, cuts.tolist()):
+                    self.runs[run] = flat[at:to]
+                    at = to
 
     def learn(self, tokens: set[bytes]) -> None:
-        new = [w for w in tokens if w not in self]
-        if len(self) + len(new) > self.most:
-            self.clear()
-            new = list(tokens)
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
-                self[w] = np.array(e.ids, "<u4").tobytes()
+        if len(self) + len(tokens) > self.most:
+            self.clear()  # a single chunk may hold more, and then does for a while
+        new = tokens.difference(self)
+        plain, other, need, tails = [], [], set(), set()
+        for w in new:
+            low = w.lower()
+            core = low.rstrip(_MARKS)
+            if core.isalpha() or not core or not core.isascii() and core.decode("utf-8", "replace").isalpha():
+                tail = low[len(core) :]
+                plain.append((w, core, tail))
+                need.add(core)
+                tails.add(tail)
+            else:
+                other.append(w)
+        runs = need.difference(self.runs)
+        if len(self.runs) + len(runs) > self.most:
+            self.runs, runs = {b"": b""}, need
+        self._learn_runs(list(runs))
+        tails = list(tails.difference(self.runs))
+        self.runs.update(zip(tails, [x.tobytes() for x in self._encode([t.decode() for t in tails])]))
+        runs = self.runs
+        for w, core, tail in plain:
+            self[w] = runs[core] + runs[tail]
+        self.update(zip(other, [x.tobytes() for x in self._encode([w.decode("utf-8", "replace") for w in other])]))
 
 
 _ids: dict[str, WordIds] = {}
@@ -70,28 +134,22 @@ def _words(path: str) -> WordIds:
 def pieces(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE, end: int = END, with_ids: bool = False) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens (and the ids themselves) of pieces of at most `size` tokens."""
     path = tokenizer or default_tokenizer()
-    last = np.array([end], "<u4").tobytes()
     step = 4 * size
 
     def run(batches):
         known = _words(path)
         for batch in batches:
             ids = batch.column("doc_id")
-            split = [x.split() if x else [] for x in utf8(batch.column("text"))]
-            at = 0
-            while at < len(split):  # as many documents at a time as the memory of words holds with ease
-                stop, fresh = at, set()
-                while stop < len(split) and len(fresh) < known.most // 4:
-                    fresh.update(split[stop])
-                    stop += 1
-                known.learn(fresh)
+            texts = utf8(batch.column("text"))
+            for at, stop in pieces_of(texts, CHUNK):
+                flat, first = known.ids(texts[at:stop], end)
                 origin, cols, blobs = [], ([], [], [], []), []
                 for i in range(at, stop):
-                    flat = b"".join(map(known.__getitem__, split[i])) + last
-                    for a in range(0, len(flat), step):
-                        part = flat[a : a + step]
+                    own = flat[first[i - at] : first[i - at + 1]].tobytes()
+                    for a in range(0, len(own), step):
+                        part = own[a : a + step]
                         origin.append(i)
-                        for c, v in zip(cols, (a // 4, len(part) // 4, zlib.crc32(part), len(flat) // 4)):
+                        for c, v in zip(cols, (a // 4, len(part) // 4, zlib.crc32(part), len(own) // 4)):
                             c.append(v)
                         if with_ids:
                             blobs.append(part)
@@ -101,7 +159,6 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE, end:
                     arrays.append(pa.array(blobs, pa.binary()))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
-                at = stop
 
     schema = T.StructType([docs.schema["doc_id"]])
     for name in ("start", "length", "ids_crc32", "doc_tokens"):
