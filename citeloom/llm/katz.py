@@ -35,7 +35,7 @@ from citeloom.llm.exchange import ANSWER, QUESTION, ask, gather, get, get_sorted
 END = np.uint64(0x2545F4914F6CDD1D)
 START = np.uint64(0x9E6C63D0876A9A47)
 HELD_OUT_OF, HELD_OUT = 7, 2
-BLOCK_TOKENS = 3_000_000
+BLOCK_TOKENS = 2_000_000
 PART_KEYS = 3_000_000
 K = 5
 WORDS, PAIRS, WEIGHTS = 1, 2, 3
