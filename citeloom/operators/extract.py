@@ -42,8 +42,8 @@ def in_order(found: Column) -> Column:
 
 def mentions(docs: DataFrame, text: str = "text", families: tuple[G.Family, ...] = G.FAMILIES) -> DataFrame:
     """docs without its text, a row for each mention: idx from 0, family, type, full_citation, span_start, span_end."""
-    plain = X.plain_spaces(F.col(text))
-    found = docs.withColumn("_m", in_order(matches(plain, families)))
+    # a column of its own: sixty expressions read it
+    found = docs.withColumn("_t", X.plain_spaces(F.col(text))).withColumn("_m", in_order(matches(F.col("_t"), families))).drop("_t")
     rows = found.select(*[c for c in docs.columns if c != text], F.posexplode("_m").alias("idx", "_x"))
     return rows.select(*[c for c in rows.columns if c != "_x"], F.col("_x.family").alias("family"), F.col("_x.type").alias("type"), F.col("_x.text").alias("full_citation"), F.col("_x.start").alias("span_start"), F.col("_x.end").alias("span_end"))
 
@@ -116,9 +116,43 @@ def _null(name: str) -> Column:
     return F.lit(None).cast(kind)
 
 
+def _groups(c: Column, pattern: str, n: int) -> Column:
+    """The n groups of a pattern that matches the whole text, in one pass; an array of one item if it does not."""
+    return F.split(F.regexp_replace(c, f"^{pattern}$", "\x01".join(f"${i + 1}" for i in range(n)) + "\x01"), "\x01")
+
+
+#: Of the frequent families: all components in one match. Names of the groups, and their pattern.
+ONE_PASS = {
+    "P01": (("plaintiff", "defendant", "volume", "reporter", "start_page", "pincite", "court", "year"), rf"(.*?) v\. (.*?),\s+([0-9]+)\s+({G.REP})\s+([0-9]+)(?:, ({G.PIN}))?(?:\s+\((?:([^()]*)\s)?([0-9]{{4}})\))?"),
+    "P09": (("title", "code", "section", "subsection", "year"), rf"([0-9]+)\s+(U\.S\.C\.)\s+(?:§§?\s*)?({G.SECTION})({G.SUBSECTIONS}*)(?:\s+\(([0-9]{{4}})\))?"),
+    "P14": (("title", "code", "section", "subsection", "year"), rf"([0-9]+)\s+(C\.F\.R\.)\s+(?:§§?\s*|pt\. )?({G.SECTION})({G.SUBSECTIONS}*)(?:\s+\(([0-9]{{4}})\))?"),
+    "P24": (("source_name", "volume", "reporter", "pincite"), rf"(.*?), ([0-9]+)\s+({G.REP})\s+at\s+({G.PIN})"),
+    "P25": (("volume", "reporter", "pincite"), rf"([0-9]+)\s+({G.REP})\s+at\s+({G.PIN})"),
+    "P26": (("source_name", "pincite"), rf"(?:(.*?), )?supra(?: note [0-9]+)?(?:,? at ({G.PIN}))?"),
+    "P23": (("pincite",), rf"[Ii]d\.(?:,? at ({G.PIN}))?"),
+}
+_INTS = ("volume", "start_page", "year", "title")
+
+
+def _one_pass(family: str, name: str) -> Column | None:
+    names = ONE_PASS[family][0]
+    at = lambda x: X.blank_to_null(F.get("_g", F.lit(names.index(x))))
+    if name == "source_name" and "plaintiff" in names:
+        return compose_source_name(at("plaintiff"), at("defendant"))
+    if name not in names:
+        return None
+    if name == "pincite":
+        return X.pincites(at(name))
+    return X.to_int(at(name)) if name in _INTS else F.regexp_replace(at(name), r"\s+", " ") if name == "reporter" else at(name)
+
+
 def components(found: DataFrame) -> DataFrame:
     """Mentions with the columns of FIELDS, each null where its type has no such thing, pincite never null."""
     c = F.col("full_citation")
+    split = F.lit(None).cast("array<string>")
+    for family, (names, pattern) in ONE_PASS.items():
+        split = F.when(F.col("family") == family, _groups(c, pattern, len(names))).otherwise(split)
+    found = found.withColumn("_g", F.when(F.size(split) > 1, split))
     by_type = {
         "case": case_fields(c),
         "statute": law_fields(c),
@@ -131,9 +165,13 @@ def components(found: DataFrame) -> DataFrame:
     }
     out = {}
     for name in FIELDS:
-        value = reduce(lambda acc, kv: F.when(F.col("type") == kv[0], kv[1][name]).otherwise(acc), [kv for kv in by_type.items() if name in kv[1]], _null(name))
+        slow = reduce(lambda acc, kv: F.when(F.col("type") == kv[0], kv[1][name]).otherwise(acc), [kv for kv in by_type.items() if name in kv[1]], _null(name))
+        value = F.when(F.col("_g").isNull() & ~F.col("family").isin("P30", "P23"), slow).otherwise(_null(name))
+        for family in ONE_PASS:
+            fast = _one_pass(family, name)
+            value = F.when((F.col("family") == family) & F.col("_g").isNotNull(), _null(name) if fast is None else fast).otherwise(value)
         out[name] = F.coalesce(value, F.array().cast("array<int>")) if name == "pincite" else value
-    return found.withColumns(out)
+    return found.withColumns(out).drop("_g")
 
 
 def reclassified(found: DataFrame) -> DataFrame:
