@@ -44,8 +44,9 @@ def mentions(docs: DataFrame, text: str = "text", families: tuple[G.Family, ...]
     """docs without its text, a row for each mention: idx from 0, family, type, full_citation, span_start, span_end."""
     # a column of its own: sixty expressions read it
     found = docs.withColumn("_t", X.plain_spaces(F.col(text))).withColumn("_m", in_order(matches(F.col("_t"), families))).drop("_t")
-    rows = found.select(*[c for c in docs.columns if c != text], F.posexplode("_m").alias("idx", "_x"))
-    return rows.select(*[c for c in rows.columns if c != "_x"], F.col("_x.family").alias("family"), F.col("_x.type").alias("type"), F.col("_x.text").alias("full_citation"), F.col("_x.start").alias("span_start"), F.col("_x.end").alias("span_end"))
+    # inline, not explode: nested pruning would otherwise evaluate the array once for each field
+    rows = F.transform("_m", lambda m, i: F.struct(i.alias("idx"), m["family"].alias("family"), m["type"].alias("type"), m["text"].alias("full_citation"), m["start"].alias("span_start"), m["end"].alias("span_end")))
+    return found.select(*[c for c in docs.columns if c != text], F.inline(rows))
 
 
 # ---- components

@@ -55,8 +55,8 @@ EDGES = C.edges_sql()
 
 @query("html_anchors", f"SELECT src AS opinion_id, ord, CASE WHEN NOT no_link THEN dst END AS dst, CASE WHEN NOT no_link THEN 10 + ord END AS page, CASE WHEN no_link THEN concat(1 + dst, ' U.S.C. 5') ELSE concat('Op ', dst) END AS text, no_link FROM ({EDGES})")
 def html_anchors(spark, sf_dir):
-    rows = C.opinions(spark, sf_dir).select("opinion_id", F.explode(H.anchors(F.col("html_with_citations"))).alias("a"))
-    return rows.select("opinion_id", F.col("a.ord").cast("long").alias("ord"), "a.dst", F.col("a.page").cast("long").alias("page"), "a.text", "a.no_link")
+    rows = C.opinions(spark, sf_dir).select("opinion_id", F.inline(H.anchors(F.col("html_with_citations"))))
+    return rows.select("opinion_id", F.col("ord").cast("long").alias("ord"), "dst", F.col("page").cast("long").alias("page"), "text", "no_link")
 
 
 @query("page_markers", f"SELECT src AS opinion_id, string_agg(CAST(100 + ord AS VARCHAR), ',' ORDER BY ord) AS markers FROM ({EDGES}) WHERE NOT no_link GROUP BY 1")
