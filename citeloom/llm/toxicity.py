@@ -52,7 +52,7 @@ def features(text: bytes | None, seen: Crc) -> np.ndarray:
     return np.concatenate([one, two, skip]).astype(np.int32)
 
 
-def fit(rows: list[tuple[np.ndarray, int]], alpha: float = 1.0, beta: float = 1.0, l1: float | None = None, l2: float = 0.1, epochs: int = 4) -> tuple[np.ndarray, np.ndarray, float]:
+def fit(rows: list[tuple[np.ndarray, int]], alpha: float = 1.0, beta: float = 1.0, l1: float | None = None, l2: float = 0.1, epochs: int = 8) -> tuple[np.ndarray, np.ndarray, float]:
     """(positions, weights, bias) of the nonzero weights after `epochs` over (features, label) in the order given."""
     if l1 is None:  # what a feature gathers by chance grows with the square root of the rows
         l1 = 0.2 * len(rows) ** 0.5
