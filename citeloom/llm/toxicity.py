@@ -88,7 +88,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
     def read(batches):
         seen = Crc()
         for batch in batches:
-            blobs = [features(x, seen).tobytes() for x in utf8(batch.column("text"))]
+            blobs = [np.unique(features(x, seen)).tobytes() for x in utf8(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), batch.column("_at"), pa.array(blobs, pa.binary())], names=["doc_id", "toxic", "_at", "x"])
 
     def learn(batches):
