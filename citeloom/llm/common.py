@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import itertools
 import tempfile
 import uuid
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,9 +17,20 @@ WORD = r"[^\x20\x09-\x0D]+"
 _serial = itertools.count()
 
 
-def words(text: bytes | None) -> list[bytes]:
-    """Words of UTF-8 bytes; bytes.split() cuts at exactly space and 9 to 13."""
-    return text.split() if text else []
+def tidy(run):
+    """A function over Arrow batches that gets a thousand rows at a time and, when its task ends, hands freed memory back.
+
+    Python workers live on from task to task; what the C library keeps for later would add up.
+    """
+
+    def wrapped(batches):
+        yield from run(b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000))
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):
+            pass  # another C library
+
+    return wrapped
 
 
 def utf8(column) -> list[bytes | None]:
@@ -29,23 +40,6 @@ def utf8(column) -> list[bytes | None]:
     return column.cast(pa.large_binary()).to_pylist()
 
 
-class WordHashes(dict):
-    """word -> 64-bit hash, remembered for at most `most` words."""
-
-    def __init__(self, most: int = 400_000):
-        super().__init__()
-        self.most = most
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-    def of(self, tokens: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every input bit over all 64 output bits."""
     x = x.astype(np.uint64, copy=True)

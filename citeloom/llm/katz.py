@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import WordHashes, materialize, mix64, utf8
+from citeloom.llm.common import Words, materialize, mix64, pieces_of, tidy, utf8
 from citeloom.llm.exchange import ANSWER, QUESTION, ask, gather, get, get_sorted, messages, packed, put, put_sorted, unpacked, with_answers
 
 END = np.uint64(0x2545F4914F6CDD1D)
@@ -40,8 +40,6 @@ PART_KEYS = 3_000_000
 K = 5
 WORDS, PAIRS, WEIGHTS = 1, 2, 3
 
-_hashes = WordHashes()
-
 
 def held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % HELD_OUT_OF == HELD_OUT
@@ -64,18 +62,20 @@ def blocks(docs: DataFrame) -> DataFrame:
         first = TaskContext.get().partitionId() << 24
         ids, hashed, size, n = [], [], 0, 0
         for batch in batches:
-            for i, text in zip(batch.column("doc_id").to_pylist(), utf8(batch.column("text"))):
-                w = text.lower().split() if text else []
-                ids.append(i)
-                hashed.append(np.append(_hashes.of(w), END))
-                size += len(w) + 1
-                if size >= BLOCK_TOKENS:
-                    yield block(first + n, ids, hashed)
-                    ids, hashed, size, n = [], [], 0, n + 1
+            texts, own = utf8(batch.column("text")), batch.column("doc_id").to_pylist()
+            for a, b in pieces_of(texts):
+                w = Words(texts[a:b])
+                for i, s, e in zip(own[a:b], w.first, w.first[1:]):
+                    ids.append(i)
+                    hashed.append(np.append(w.hash[s:e], END))
+                    size += e - s + 1
+                    if size >= BLOCK_TOKENS:
+                        yield block(first + n, ids, hashed)
+                        ids, hashed, size, n = [], [], 0, n + 1
         if ids:
             yield block(first + n, ids, hashed)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, BLOCKS)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), BLOCKS)
 
 
 class Block:
@@ -129,7 +129,7 @@ def _count_questions(table: DataFrame, parts: int) -> DataFrame:
                 count = np.bincount(b.token_pair[b.train], minlength=len(b.pair_hash))
                 yield messages(QUESTION, ask(PAIRS, b.number, parts, b.pair_hash, count.astype(np.int64)))
 
-    return table.mapInArrow(run, QUESTION)
+    return table.mapInArrow(tidy(run), QUESTION)
 
 
 def _count_answers(questions: DataFrame) -> DataFrame:

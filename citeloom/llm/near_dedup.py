@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import WordHashes, materialize, mix64, shingle_hashes, utf8
+from citeloom.llm.common import Words, materialize, mix64, pieces_of, shingle_hashes, tidy, utf8
 from citeloom.llm.graph import components
 
 K = 64
@@ -40,15 +40,19 @@ MARGIN = 0.25
 ALL_PAIRS = 3
 CHUNK = 64
 BLOCK = 256
-COLUMNS = 20_000
-
-_hashes = WordHashes()
-
+COLUMNS = 4_000
 
 def shingle_set(text: bytes | None, n: int) -> np.ndarray:
     """Distinct shingle hashes of a text in ascending (signed) order."""
-    w = text.lower().split() if text else []
-    return np.unique(shingle_hashes(_hashes.of(w), n).view(np.int64))
+    return np.unique(shingle_hashes(Words([text]).hash, n).view(np.int64))
+
+
+def shingle_sets(texts: list[bytes | None], n: int) -> list[np.ndarray]:
+    out = []
+    for a, b in pieces_of(texts):
+        w = Words(texts[a:b])
+        out += [np.unique(shingle_hashes(w.hash[i:j], n).view(np.int64)) for i, j in zip(w.first, w.first[1:])]
+    return out
 
 
 def sketches(docs: DataFrame, n: int, k: int = K) -> DataFrame:
@@ -57,14 +61,14 @@ def sketches(docs: DataFrame, n: int, k: int = K) -> DataFrame:
     def run(batches):
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            sets = [shingle_set(x, n) for x in utf8(batch.column("text"))]
+            sets = shingle_sets(utf8(batch.column("text")), n)
             keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) and i is not None else None for s, i in zip(sets, ids)]
             kept = [s[:k] for s in sets]
             offsets = np.concatenate([[0], np.cumsum([len(s) for s in kept])]).astype(np.int32)
             values = np.concatenate(kept) if kept else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(offsets, values)], names=["doc_id", "n_shingles", "set_key", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sketch array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, n_shingles long, set_key binary, sketch array<long>")
 
 
 def lists(classes: DataFrame, percent: int, k: int) -> DataFrame:
@@ -135,7 +139,7 @@ def with_ids(texts: DataFrame, ids: DataFrame) -> DataFrame:
         parts = [np.frombuffer(x, np.uint8) for x in table.column("part").to_pylist()]
         return pa.table({"at": table.column("at")[:1], "part": pa.array([np.bitwise_or.reduce(parts).tobytes()], pa.binary())})
 
-    rows = ids.coalesce(16).mapInArrow(mark, "at long, part binary").groupBy("at").applyInArrow(merge, "at long, part binary").collect()
+    rows = ids.coalesce(16).mapInArrow(tidy(mark), "at long, part binary").groupBy("at").applyInArrow(merge, "at long, part binary").collect()
     field = np.zeros(bits // 8, np.uint8)
     for r in rows:
         part = np.frombuffer(r["part"], np.uint8)
@@ -148,7 +152,7 @@ def with_ids(texts: DataFrame, ids: DataFrame) -> DataFrame:
             hit = (field[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).all(axis=0)
             yield known.filter(pa.array(hit))
 
-    return texts.mapInArrow(keep, texts.schema)
+    return texts.mapInArrow(tidy(keep), texts.schema)
 
 
 def _rows(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple]:
@@ -191,7 +195,7 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFr
                 found = []
         yield _edges(found)
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(tidy(run), "a long, b long")
 
 
 def _linked(sets: list[np.ndarray], outside: list[int], percent: int) -> np.ndarray:
@@ -252,7 +256,7 @@ def split_families(families: DataFrame, labels: DataFrame, texts: DataFrame, n:
         if group:
             yield _edges(block(group))
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(tidy(run), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, k: int = K) -> DataFrame:

@@ -20,10 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citeloom.llm.common import Words, materialize, pieces_of, ranked, utf8
+from citeloom.llm.common import Words, materialize, pieces_of, ranked, tidy, utf8
 
 SIZE = 4096
-CHUNK = 4_000_000
+CHUNK = 1_000_000
 END = 2
 
 
@@ -46,7 +46,7 @@ class WordIds(dict):
     text. At most `most` words and as many runs of letters are remembered.
     """
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 450_000):
         super().__init__()
         from tokenizers import Tokenizer
 
@@ -112,7 +112,7 @@ class WordIds(dict):
                 other.append(w)
         runs = need.difference(self.runs)
         if len(self.runs) + len(runs) > self.most:
-            self.runs, runs = {b"": b""}, need
+            self.runs, runs = {b"": b""}, need - {b""}
         self._learn_runs(list(runs))
         tails = list(tails.difference(self.runs))
         self.runs.update(zip(tails, [x.tobytes() for x in self._encode([t.decode() for t in tails])]))
@@ -165,7 +165,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE, end:
         schema = schema.add(name, "long")
     if with_ids:
         schema = schema.add("ids", "binary")
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), schema)
 
 
 @dataclass
@@ -238,7 +238,7 @@ def assign(ranked_pieces: DataFrame, plan: Plan) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(seq), pa.array(off)], names=[*keep, "sequence_id", "offset"])
 
     schema = T.StructType([ranked_pieces.schema[c] for c in keep]).add("sequence_id", "long").add("offset", "long")
-    return ranked_pieces.mapInArrow(run, schema)
+    return ranked_pieces.mapInArrow(tidy(run), schema)
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE, end: int = END, with_ids: bool = False) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citeloom.llm.common import utf8
+from citeloom.llm.common import tidy, utf8
 
 SYMBOLS = b"#*$%&|<>"
 WHITE = b" \t\n\x0b\x0c\r"
@@ -147,7 +147,7 @@ def clean(docs: DataFrame, rules: Rules = Rules(), text: str = "text", with_text
                 arrays.append(pa.array([x.decode("utf-8", "replace") for x in cols[8]], pa.string()))
             yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *added])
 
-    return docs.select(*keep).mapInArrow(run, schema) if text in keep else docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def query(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:

@@ -30,12 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citeloom.llm.common import Words, materialize, mix64, pieces_of, utf8
+from citeloom.llm.common import Words, materialize, mix64, pieces_of, tidy, utf8
 from citeloom.llm.exchange import ANSWER, QUESTION, ask, gather, get, messages, put, with_answers
 
 LEAST = 50
 GRAM = 20
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 4_000_000
 PART_KEYS = 2_000_000
 SUFFIXES, WINDOWS = 1, 2
 ADDED = "n_words long, n_cut long, spans array<struct<start:long,end:long>>"
@@ -69,7 +69,7 @@ def blocks(docs: DataFrame) -> DataFrame:
         if found:
             yield pack(first + n, found)
 
-    return docs.mapInArrow(run, "block long, data binary")
+    return docs.mapInArrow(tidy(run), "block long, data binary")
 
 
 def grams(h: np.ndarray, n: int) -> np.ndarray:
@@ -166,7 +166,7 @@ def _suffix_questions(table: DataFrame, parts: int, least: int) -> DataFrame:
                 keys, count = np.unique(Block(row["block"], row["data"], least).suffixes, return_counts=True)
                 yield messages(QUESTION, ask(SUFFIXES, row["block"], parts, keys, count.astype(np.uint32)))
 
-    return table.mapInArrow(run, QUESTION)
+    return table.mapInArrow(tidy(run), QUESTION)
 
 
 def _suffix_answers(questions: DataFrame) -> DataFrame:

@@ -73,6 +73,13 @@ def test_pieces_and_sequences(docs, size):
     assert waste < 0.1
 
 
+def test_a_small_memory_of_words_gives_the_same_ids():
+    small, large = P.WordIds(P.default_tokenizer(), 40), P._words(P.default_tokenizer())
+    for k in range(30):
+        texts = [f"w{chr(97 + (k * i) % 26) * 3}x, %%% !! Word{chr(97 + i % 26)}. a b'c {k} Größe?".encode() for i in range(25)]
+        assert (small.ids(texts, 2)[0] == large.ids(texts, 2)[0]).all()
+
+
 def test_edges(spark, empty):
     assert P.query(empty).count() == 0
     rows = [(1, "a b", "", "", 0), (1, "a b", "", "", 0), (None, None, None, None, None)]
