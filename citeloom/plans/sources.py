@@ -209,9 +209,9 @@ def match_ladder(spark, sf_dir):
     return V.match_ladder(cites, passages).select("cite_id", "tier", "page")
 
 
-@query("catalog_search", "SELECT s_suppkey, s_nationkey FROM supplier WHERE s_nationkey = 3 ORDER BY s_suppkey LIMIT 5 OFFSET 5")
+@query("catalog_search", "SELECT s_suppkey, s_nationkey FROM supplier WHERE s_nationkey = 3 ORDER BY s_suppkey LIMIT 2 OFFSET 2")
 def catalog_search(spark, sf_dir):
-    return readers.search(C.table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), {"s_nationkey": 3}, ["s_suppkey"], page=2, size=5)
+    return readers.search(C.table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), {"s_nationkey": 3}, ["s_suppkey"], page=2, size=2)
 
 
 @query("semantic_scorer_topk", "SELECT vec_id, best, r FROM (SELECT a.vec_id, b.vec_id AS best, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.embedding, b.embedding), 6) DESC, b.vec_id) AS r FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0) WHERE r <= 3")
