@@ -11,6 +11,7 @@ rows; repeated rows are packed as often as they stand; extra columns are dropped
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from dataclasses import dataclass, field
 
@@ -37,6 +38,12 @@ def default_tokenizer() -> str:
 _MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
+def _letters(core: bytes) -> bool:
+    """Whether the tokeniser's normal form is letters only; U+0130 becomes i and a dot that joins the punctuation behind."""
+    t = core.decode("utf-8", "replace")
+    return t.isalpha() and unicodedata.normalize("NFC", t).lower().isalpha()
+
+
 class WordIds(dict):
     """word -> its token ids as little-endian 32-bit integers.
 
@@ -88,8 +95,9 @@ class WordIds(dict):
             lines = [runs[j : j + 500] for j in range(i, min(i + 50_000, len(runs)), 500)]
             for line, ids in zip(lines, self._encode([b" ".join(x).decode() for x in lines])):
                 cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
-                if len(cuts) != len(line):
-                    raise ValueError("the vocabulary does not end each run of letters with one token")
+                if len(cuts) != len(line):  # each run ends at least once; some fall apart
+                    self.runs.update(zip(line, [x.tobytes() for x in self._encode([x.decode() for x in line])]))
+                    continue
                 flat, at = ids.tobytes(), 0
                 for run, to in zip(line, cuts.tolist()):
                     self.runs[run] = flat[at:to]
@@ -103,7 +111,7 @@ class WordIds(dict):
         for w in new:
             low = w.lower()
             core = low.rstrip(_MARKS)
-            if core.isalpha() or not core or not core.isascii() and core.decode("utf-8", "replace").isalpha():
+            if core.isalpha() or not core or not core.isascii() and _letters(core):
                 tail = low[len(core) :]
                 plain.append((w, core, tail))
                 need.add(core)

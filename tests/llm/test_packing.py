@@ -80,6 +80,19 @@ def test_a_small_memory_of_words_gives_the_same_ids():
         assert (small.ids(texts, 2)[0] == large.ids(texts, 2)[0]).all()
 
 
+@pytest.mark.parametrize("word", ["İstanbul", "İ", "İ,", "DİYARBAKIR.", "\u0958a", "\ufb1d"])
+def test_letters_that_the_tokenizer_takes_apart(word):
+    known = P.WordIds(P.default_tokenizer())
+    text = f"first {word} and {word} last"
+    want = known.tokenizer.encode(text, add_special_tokens=False).ids + [2]
+    assert known.ids([text.encode(), b"other words"], 2)[0].tolist()[: len(want)] == want
+
+
+def test_pack_text_with_dotted_capital_i(spark):
+    rows = [(1, "Old İstanbul, İzmir and plain words", "tr", "", 0), (2, "plain words", "en", "", 0)]
+    assert {r.doc_id for r in P.query(frame(spark, rows)).collect()} == {1, 2}
+
+
 def test_edges(spark, empty):
     assert P.query(empty).count() == 0
     rows = [(1, "a b", "", "", 0), (1, "a b", "", "", 0), (None, None, None, None, None)]
