@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +14,7 @@ SPAN = r'<span class="citation[^"]*"[^>]*>.*?</span>'
 FORWARD = 1500
 NEEDLE = 120
 CHECKPOINT = 8
-MOST_HOPS = 12
+MOST_HOPS = 12  # of the SQL only
 MOST_CANDIDATES = 5
 
 
@@ -85,33 +88,51 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return linked.select("src", F.array_distinct(F.transform("x", lambda y: y["dst"])).alias("nbrs"))
 
 
-def walk(edges: DataFrame, seeds: DataFrame, most_hops: int = MOST_HOPS, limit: int = ADJACENCY_LIMIT) -> DataFrame:
+def walk(edges: DataFrame, seeds: DataFrame, most_hops: int | None = None, limit: int = ADJACENCY_LIMIT) -> DataFrame:
     """root, path: from each seed to the first unvisited target of each opinion, until none is left.
 
-    A graph of at most `limit` edges is broadcast as one map and each walk is a fold within its row;
-    a larger one is walked by frontier, a join for each hop.
+    A graph of at most `limit` edges is broadcast and each walk is made within its row; a larger one
+    is walked by frontier, a join for each hop. Only `most_hops` cuts a walk.
     """
     adj = adjacency(edges)
     if edges.count() > limit:
         return _walk_by_frontier(adj, seeds, most_hops)
-    graph = adj.agg(F.map_from_entries(F.collect_list(F.struct("src", "nbrs"))).alias("graph"))
-    rows = seeds.select(F.col("opinion_id").alias("root")).join(F.broadcast(graph), how="cross")
-    path = F.expr(f"""aggregate(sequence(1, {most_hops}), named_struct('path', array(root), 'more', true), (a, i) ->
-        transform(array(CASE WHEN a.more THEN get(filter(coalesce(graph[element_at(a.path, -1)], array()), x -> NOT array_contains(a.path, x)), 0) END),
-          t -> CASE WHEN t IS NULL THEN named_struct('path', a.path, 'more', false) ELSE named_struct('path', array_append(a.path, t), 'more', true) END)[0], a -> a.path)""")
-    return rows.select("root", path.alias("path"))
-
-
-def _walk_by_frontier(adj: DataFrame, seeds: DataFrame, most_hops: int) -> DataFrame:
+    nbrs = {r["src"]: list(r["nbrs"]) for r in adj.collect()}
+    graph = edges.sparkSession.sparkContext.broadcast(nbrs)
+
+    def run(batches):
+        known = graph.value
+        for batch in batches:
+            for root in batch.column(0).to_pylist():
+                path, seen = [root], {root}
+                while most_hops is None or len(path) <= most_hops:
+                    t = next((x for x in known.get(path[-1], ()) if x is not None and x not in seen), None)
+                    if t is None:
+                        break
+                    path.append(t)
+                    seen.add(t)
+                yield pa.RecordBatch.from_arrays([pa.array([root], pa.int64()), pa.array([path], pa.list_(pa.int64()))], names=["root", "path"])
+
+    return seeds.select(F.col("opinion_id").cast("long").alias("root")).mapInArrow(run, "root long, path array<long>")
+
+
+def _walk_by_frontier(adj: DataFrame, seeds: DataFrame, most_hops: int | None) -> DataFrame:
     live = seeds.select(F.col("opinion_id").alias("root"), F.array("opinion_id").alias("path"))
-    done = None
-    for _ in range(most_hops):
+    done, hop = [], 0
+    while most_hops is None or hop < most_hops:
         joined = live.join(adj, F.element_at("path", -1) == F.col("src"), "left").withColumn("t", F.expr("get(filter(coalesce(nbrs, array()), x -> NOT array_contains(path, x)), 0)"))
         joined = _cut(joined.select("root", "path", "t"))
-        ended = joined.filter("t IS NULL").select("root", "path")
-        done = ended if done is None else done.unionByName(ended)
+        done = _gathered([*done, joined.filter("t IS NULL").select("root", "path")])
         live = joined.filter("t IS NOT NULL").select("root", F.array_append("path", F.col("t")).alias("path"))
-    return live if done is None else done.unionByName(live)
+        hop += 1
+        if live.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, [*done, live])
+
+
+def _gathered(parts: list[DataFrame], most: int = 16) -> list[DataFrame]:
+    """Written anew as one where there are many parts, so that the plan stays small."""
+    return parts if len(parts) < most else [_cut(reduce(DataFrame.unionByName, parts))]
 
 
 def _cut(df: DataFrame) -> DataFrame:
@@ -127,7 +148,7 @@ def hops(walks: DataFrame) -> DataFrame:
     return rows.select("root", "hop_index", "opinion_id", F.when(F.col("hop_index") > 0, F.element_at("path", F.col("hop_index"))).alias("parent"))
 
 
-def terminals(walks: DataFrame, edges: DataFrame, most_hops: int = MOST_HOPS) -> DataFrame:
+def terminals(walks: DataFrame, edges: DataFrame) -> DataFrame:
     """root, hops, last, terminal_reason, cycle_path of each walk."""
     laws = edges.groupBy("src").agg(F.collect_set(F.when(~F.col("no_link"), F.col("dst"))).alias("linked"), F.count_if("no_link").alias("laws"))
     last = F.element_at("path", -1)
@@ -168,16 +189,20 @@ def checkpoints(hop_rows: DataFrame, every: int = CHECKPOINT, most: int | None =
     return out if most is None else out.filter(n <= most).withColumn("stopped", n == most)
 
 
-def forest(edges: DataFrame, seeds: DataFrame, levels: int = 4) -> DataFrame:
-    """root, parent, opinion_id, level: every opinion reachable from a root, once, at its first level; one join a level."""
-    reached = seeds.select(F.col("opinion_id").alias("root"), F.lit(None).cast("long").alias("parent"), "opinion_id", F.lit(0).alias("level"))
+def forest(edges: DataFrame, seeds: DataFrame, levels: int | None = None) -> DataFrame:
+    """root, parent, opinion_id, level: every opinion reachable from a root, once, at its first level; one join a level until none is new."""
+    start = seeds.select(F.col("opinion_id").alias("root"), F.lit(None).cast("long").alias("parent"), "opinion_id", F.lit(0).alias("level"))
     linked = edges.filter(~F.col("no_link")).select("src", "dst")
-    frontier = reached
-    for level in range(1, levels + 1):
+    parts, frontier, level = [start], start, 0
+    while levels is None or level < levels:
+        level += 1
         step = frontier.join(linked, F.col("opinion_id") == F.col("src")).groupBy("root", F.col("dst").alias("opinion_id")).agg(F.min("src").alias("parent")).select("root", "parent", "opinion_id", F.lit(level).alias("level"))
+        reached = reduce(DataFrame.unionByName, parts)
         frontier = _cut(step.join(reached.select("root", "opinion_id"), ["root", "opinion_id"], "left_anti").select("root", "parent", "opinion_id", "level"))
-        reached = reached.unionByName(frontier)
-    return reached
+        if frontier.isEmpty():
+            break
+        parts = _gathered([*parts, frontier])
+    return reduce(DataFrame.unionByName, parts)
 
 
 def fan_out(candidates: DataFrame, chosen: DataFrame | None = None, most: int = MOST_CANDIDATES) -> DataFrame:

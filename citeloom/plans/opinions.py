@@ -178,7 +178,7 @@ REACH = f"""WITH RECURSIVE r AS (SELECT DISTINCT src AS root, src AS opinion_id,
 @query("chain_forest", f"{REACH} SELECT root, opinion_id, min(level) AS level FROM r GROUP BY 1, 2")
 def chain_forest(spark, sf_dir):
     seeds = C.opinions(spark, sf_dir).filter("opinion_id < 5").select("opinion_id")
-    return H.forest(C.edges(spark, sf_dir), seeds, 3).select("root", "opinion_id", F.col("level").cast("int").alias("level"))
+    return H.forest(C.edges(spark, sf_dir), seeds).select("root", "opinion_id", F.col("level").cast("int").alias("level"))
 
 
 @query("chain_report", f"SELECT root, concat('Chain of ', hops, ' hops, ends: ', terminal_reason) AS summary FROM ({ENDS}) z")

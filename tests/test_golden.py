@@ -297,3 +297,14 @@ def test_streaming_stack_equals_the_batch(spark, tmp_path):
     finally:
         q.stop()
     assert sorted((r.brief_id, r.ord, r.key) for r in spark.table("stack").collect()) == [(1, 1, "a"), (1, 2, "a"), (1, 3, "b"), (1, 4, "b"), (2, 1, None)]
+
+
+@pytest.mark.parametrize("limit", [1000, 1])
+def test_walk_and_forest_have_no_cap(spark, limit):
+    edges = spark.createDataFrame([(i, 1, i + 1, False) for i in range(30)] + [(30, 1, 7, False)], "src long, ord int, dst long, no_link boolean")
+    seeds = spark.createDataFrame([(0,), (25,)], "opinion_id long")
+    walks = H.walk(edges, seeds, limit=limit)
+    assert {r.root: r.path for r in walks.collect()} == {0: list(range(31)), 25: [*range(25, 31), *range(7, 25)]}
+    assert {(r.root, r.hops, r["last"], r.terminal_reason, r.cycle_path[-1]) for r in H.terminals(walks, edges).collect()} == {(0, 30, 30, "cycle_detected", 7), (25, 23, 24, "cycle_detected", 25)}
+    if limit > 1:
+        assert {(r.opinion_id, r.level) for r in H.forest(edges, seeds.filter("opinion_id = 0")).collect()} == {(i, i) for i in range(31)}
