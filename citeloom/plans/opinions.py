@@ -120,7 +120,7 @@ def anchor_next_hop(spark, sf_dir):
 
 # ---- walks
 
-SEEDS = 20
+SEEDS = 20  # of the SQL only
 ADJ = f"SELECT src, list(dst ORDER BY ord) AS nbrs FROM (SELECT src, dst, min(ord) AS ord FROM ({EDGES}) WHERE NOT no_link GROUP BY 1, 2) GROUP BY src"
 STEPS = f"""WITH RECURSIVE adj AS ({ADJ}), w AS (
   SELECT src AS root, [src] AS path FROM ({EDGES}) WHERE src < {SEEDS} GROUP BY src
@@ -131,7 +131,7 @@ WALKS = f"{STEPS} SELECT root, arg_max(path, len(path)) AS path FROM w GROUP BY
 
 def _walks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     edges = C.edges(spark, sf_dir)
-    return H.walk(edges, C.opinions(spark, sf_dir).filter(F.col("opinion_id") < SEEDS).select("opinion_id")), edges
+    return H.walk(edges, C.opinions(spark, sf_dir).select("opinion_id")), edges
 
 
 @query("chain_walk", f"SELECT root, i - 1 AS hop_index, list_extract(path, i) AS opinion_id, CASE WHEN i > 1 THEN list_extract(path, i - 1) END AS parent FROM ({WALKS}) q, generate_series(1, 50) g(i) WHERE i <= len(path)")
@@ -177,7 +177,7 @@ REACH = f"""WITH RECURSIVE r AS (SELECT DISTINCT src AS root, src AS opinion_id,
 
 @query("chain_forest", f"{REACH} SELECT root, opinion_id, min(level) AS level FROM r GROUP BY 1, 2")
 def chain_forest(spark, sf_dir):
-    seeds = C.opinions(spark, sf_dir).filter("opinion_id < 5").select("opinion_id")
+    seeds = C.opinions(spark, sf_dir).select("opinion_id")
     return H.forest(C.edges(spark, sf_dir), seeds).select("root", "opinion_id", F.col("level").cast("int").alias("level"))
 
 

@@ -6,6 +6,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from citeloom import registry
 from citeloom.functions import text as X
 from citeloom.operators import extract as E
 from citeloom.operators import graph as H
@@ -14,6 +15,7 @@ from citeloom.operators import sections as L
 from citeloom.operators import structure as S
 from citeloom.operators import toa as T
 from citeloom.operators import verify as V
+from citeloom.plans import corpus as C
 from citeloom.sources import readers, sinks
 
 
@@ -308,3 +310,24 @@ def test_walk_and_forest_have_no_cap(spark, limit):
     assert {(r.root, r.hops, r["last"], r.terminal_reason, r.cycle_path[-1]) for r in H.terminals(walks, edges).collect()} == {(0, 30, 30, "cycle_detected", 7), (25, 23, 24, "cycle_detected", 25)}
     if limit > 1:
         assert {(r.opinion_id, r.level) for r in H.forest(edges, seeds.filter("opinion_id = 0")).collect()} == {(i, i) for i in range(31)}
+
+
+def test_every_opinion_is_a_root(spark):
+    sf = "/root/testdata/sf0.01"
+    nbrs, all_ids = {}, set()
+    for e in sorted(C.edges(spark, sf).collect(), key=lambda e: (e.src, e.ord)):
+        all_ids.add(e.src)
+        if not e.no_link:
+            nbrs.setdefault(e.src, []).append(e.dst)
+    want = set()
+    for root in all_ids:
+        path = [root]
+        while path:
+            want.add((root, len(path) - 1, path[-1]))
+            free = [x for x in nbrs.get(path[-1], []) if x not in path]
+            if not free:
+                break
+            path.append(free[0])
+    got = [(r.root, r.hop_index, r.opinion_id) for r in registry.queries()["chain_walk"](spark, sf).collect()]
+    assert len(all_ids) == 100 and set(got) == want and len(got) == len(want)
+    assert {r.root for r in registry.queries()["chain_forest"](spark, sf).collect()} == all_ids
