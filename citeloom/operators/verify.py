@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -244,6 +246,41 @@ def cosine(a: Column, b: Column) -> Column:
 register_scorer("cosine", cosine)
 
 
+def nearest(queries: DataFrame, rows: DataFrame, k: int, block: int = 1000) -> DataFrame:
+    """vec_id, best, r: for each query (vec_id, v) the k other rows of highest cosine, to six places, then of lowest id.
+
+    Every row meets every query, block by block; a pair of blocks yields at most k rows for each query.
+    Rows without a vector are left out.
+    """
+
+    def packed(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, block):
+                part = batch.slice(at, block).to_pydict()
+                kept = [(i, v) for i, v in zip(part["vec_id"], part["v"]) if i is not None and v is not None]
+                yield pa.RecordBatch.from_arrays([pa.array([[i for i, _ in kept]], pa.list_(pa.int64())), pa.array([[v for _, v in kept]], pa.list_(pa.list_(pa.float64())))], names=["ids", "vs"])
+
+    def best(batches):
+        for batch in batches:
+            for p in batch.to_pylist():
+                if not p["ids"] or not p["q_ids"]:
+                    continue
+                ids, v, q = np.array(p["ids"], np.int64), np.array(p["vs"]), np.array(p["q_vs"])
+                norm = np.sqrt((q * q).sum(1))[:, None] * np.sqrt((v * v).sum(1))
+                score = np.round(np.divide(q @ v.T, norm, out=np.zeros(norm.shape), where=norm > 0), 6) + 0.0
+                for i, s in zip(p["q_ids"], score):
+                    other = np.flatnonzero(ids != i)
+                    top = other[np.lexsort((ids[other], -s[other]))[:k]]
+                    yield pa.RecordBatch.from_arrays([pa.array([i] * len(top), pa.int64()), pa.array(ids[top]), pa.array(s[top])], names=["vec_id", "best", "score"])
+
+    kind = "ids array<long>, vs array<array<double>>"
+    left = rows.select("vec_id", "v").mapInArrow(packed, kind)
+    right = queries.select("vec_id", "v").mapInArrow(packed, kind).select(F.col("ids").alias("q_ids"), F.col("vs").alias("q_vs"))
+    pairs = left.crossJoin(right).mapInArrow(best, "vec_id long, best long, score double")
+    order = Window.partitionBy("vec_id").orderBy(F.desc("score"), "best")
+    return pairs.withColumn("r", F.row_number().over(order).cast("long")).filter(F.col("r") <= k).select("vec_id", "best", "r")
+
+
 def route(task: Column, flag_rate: Column, high: float = 0.3) -> Column:
     """struct<route, promote>: mechanical work goes cheap, judgment and criticism do not; many flags promote."""
     way = F.when(task.isin("extract", "lookup", "format"), "mechanical").when(task == "critic", "critic").otherwise("judgment")

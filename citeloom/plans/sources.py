@@ -216,8 +216,5 @@ def catalog_search(spark, sf_dir):
 
 @query("semantic_scorer_topk", "SELECT vec_id, best, r FROM (SELECT a.vec_id, b.vec_id AS best, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.embedding, b.embedding), 6) DESC, b.vec_id) AS r FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0) WHERE r <= 3")
 def semantic_scorer_topk(spark, sf_dir):
-    e = C.table(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    a = e.filter("vec_id % 100 = 0").select("vec_id", "label", F.col("v").alias("q"))
-    pairs = e.select(F.col("vec_id").alias("best"), "label", "v").join(F.broadcast(a), "label").filter("vec_id <> best").withColumn("score", F.round(V.scorer("cosine")(F.col("q"), F.col("v")), 6))
-    top = F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("score"), "best"))
-    return pairs.withColumn("r", top).filter("r <= 3").select("vec_id", "best", F.col("r").cast("long").alias("r"))
+    e = C.table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    return V.nearest(e.filter("vec_id % 100 = 0"), e, 3)

@@ -3,6 +3,7 @@
 import io
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -331,3 +332,13 @@ def test_every_opinion_is_a_root(spark):
     got = [(r.root, r.hop_index, r.opinion_id) for r in registry.queries()["chain_walk"](spark, sf).collect()]
     assert len(all_ids) == 100 and set(got) == want and len(got) == len(want)
     assert {r.root for r in registry.queries()["chain_forest"](spark, sf).collect()} == all_ids
+
+
+def test_nearest_of_all_labels(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = {r.vec_id: np.array(r.embedding, float) for r in C.table(spark, sf, "embeddings").collect()}
+    unit = {i: v / np.linalg.norm(v) for i, v in rows.items()}
+    want = {(q, b, k + 1) for q in rows if q % 100 == 0 for k, b in enumerate(sorted((i for i in rows if i != q), key=lambda i: (-round(float(unit[q] @ unit[i]), 6), i))[:3])}
+    assert {tuple(r) for r in registry.queries()["semantic_scorer_topk"](spark, sf).collect()} == want
+    e = C.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("v"))
+    assert {tuple(r) for r in V.nearest(e.filter("vec_id % 100 = 0"), e, 3, block=7).collect()} == want
