@@ -120,14 +120,18 @@ def quote_match(spark, sf_dir):
 def benchmark_quotes(spark, sf_dir):
     flat = lambda c: F.lower(F.regexp_replace(c, r"\s+", " "))
     d = C.table(spark, sf_dir, "documents").select("doc_id", flat(F.col("text")).alias("t"), F.split(flat(F.col("text")), " ").alias("w"))
-    b = C.table(spark, sf_dir, "benchmark").select("item_id", F.trim(flat(F.col("text"))).alias("q")).filter("length(q) > 0")
+    b = C.table(spark, sf_dir, "benchmark").select("item_id", F.trim(flat(F.col("text"))).alias("q"))
     # equal runs of eight words in the middle of an item find the documents that may hold it
     runs = d.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 7, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("w", i, F.lit(8)), " "))))).alias("k"))
     short = F.size(F.split("q", " ")) < 10
-    keyed = b.withColumn("k", F.xxhash64(F.array_join(F.slice(F.split("q", " "), 2, 8), " ")))
-    pairs = runs.join(keyed.filter(~short), "k").select("doc_id", "q")
+    keyed = b.filter(~short).withColumn("k", F.xxhash64(F.array_join(F.slice(F.split("q", " "), 2, 8), " ")))
+    pairs = runs.join(keyed, "k").select("doc_id", "q")
     hit = pairs.join(d.select("doc_id", "t"), "doc_id").filter(F.contains("t", "q"))
-    return hit.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    found = hit.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    # shorter items have no such run: all documents are asked for them, in blocks of items
+    blocks = b.filter(short).groupBy(F.expr("monotonically_increasing_id() div 256").alias("block")).agg(F.collect_list("q").alias("qs"))
+    few = d.select("doc_id", "t").crossJoin(blocks.select("qs")).select("doc_id", F.size(F.filter("qs", lambda q: F.contains(F.col("t"), q))).cast("long").alias("n")).filter("n > 0")
+    return found.unionByName(few).groupBy("doc_id").agg(F.sum("n").alias("n"))
 
 
 @query("statute_rubric", f"SELECT p_partkey AS doc_id, CASE WHEN {STATUS} <> 'ok' THEN 'Unable' WHEN p_partkey % 6 IN (0, 1, 2) THEN 'Strong' WHEN p_partkey % 6 IN (3, 4) THEN 'Misleading' END AS label, CASE WHEN {STATUS} <> 'ok' THEN NULL WHEN p_partkey % 6 = 3 THEN 'misquote' WHEN p_partkey % 6 = 4 THEN 'citation-form' END AS issue FROM part")

@@ -342,3 +342,12 @@ def test_nearest_of_all_labels(spark):
     assert {tuple(r) for r in registry.queries()["semantic_scorer_topk"](spark, sf).collect()} == want
     e = C.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("v"))
     assert {tuple(r) for r in V.nearest(e.filter("vec_id % 100 = 0"), e, 3, block=7).collect()} == want
+
+
+def test_short_benchmark_items_are_found(spark, tmp_path):
+    long = "one two three four five six seven eight nine ten eleven twelve"
+    docs = [(1, f"Asked: what  is law? {long}."), (2, "法律は何ですか。"), (3, "nothing"), (4, "WHAT IS LAW? what is law?")]
+    items = [(1, "What is law?"), (2, "何ですか"), (3, long), (4, "what is law?"), (5, "absent here"), (6, "one two three four five six seven eight nine")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert {tuple(r) for r in registry.queries()["benchmark_quotes"](spark, str(tmp_path)).collect()} == {(1, 4), (2, 1), (4, 2)}
