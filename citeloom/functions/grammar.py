@@ -91,5 +91,8 @@ FAMILIES = (
     Family("P23", "id", rf"(?<![\w.])[Ii]d\.(?:,? at {PIN})?", r"[Ii]d\."),
     Family("P27", "short_case", r"(?<![\w.])(?:the )?[A-Z][a-z]+ (?:court|standard|doctrine|test)(?![\w])", r" court| standard| doctrine| test"),
     Family("P29", "statute", rf"(?<![\w.§])§ ?{SECTION}{SUBSECTIONS}*", r"§"),
+    # looks like a citation, but of a reporter that none of the above knows: for review
+    Family("P32", "unknown", r"(?<![\w.])[0-9]+ [A-Z][A-Za-z']*\.(?: ?[A-Z][A-Za-z0-9']*\.| [0-9](?:d|th)){0,3} [0-9]+(?![0-9A-Za-z])(?: \([^()]*[0-9]{4}\))?", r"[0-9] [A-Z]"),
 )
+TYPES = frozenset(f.kind for f in FAMILIES)
 PRIORITY = {f.id: i for i, f in enumerate(FAMILIES)}

@@ -1,11 +1,15 @@
 """Column functions on text: offsets, cleaning, tags, page markers, sentences, snippets.
 
-Everything is an expression over built-in functions, so a plan keeps whole rows in the JVM and needs
-no exchange.
+Columns are expressions over built-in functions wherever those need one pass. Where a running position
+is carried from match to match (offsets, page bounds, merged sentences), built-in folds copy their
+array at each step; those few are Arrow UDFs, linear in the text. Nothing here needs an exchange.
 """
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,19 +33,31 @@ def plain_spaces(c: Column) -> Column:
     return F.translate(c, ODD_SPACES, " " * len(ODD_SPACES))
 
 
+def per_text(give, kind: str):
+    """An Arrow UDF that gives a value of type `kind` for each text; null for null."""
+
+    arrow = _arrow(kind)
+
+    def run(column: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else give(t) for t in column.to_pylist()], arrow)
+
+    return F.arrow_udf(run, kind)
+
+
+def _arrow(kind: str) -> pa.DataType:
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import _parse_datatype_string
+
+    return to_arrow_type(_parse_datatype_string(kind))
+
+
 def spans(text: Column, pattern: str) -> Column:
-    """All matches of a (never empty) pattern as array<struct<start,end,text>>, in code points from 0."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
-    steps = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda t, g: F.struct(g.alias("gap"), t.alias("text")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+    """All matches of a pattern as array<struct<start,end,text>>, in code points from 0."""
 
-    def add(acc: Column, x: Column) -> Column:
-        s = acc["at"] + x["gap"]
-        e = s + F.length(x["text"])
-        return F.struct(e.alias("at"), F.array_append(acc["out"], F.struct(s.alias("start"), e.alias("end"), x["text"].alias("text"))).alias("out"))
+    def give(t: str) -> list[dict]:
+        return [{"start": m.start(), "end": m.end(), "text": m[0]} for m in re.finditer(pattern, t, re.ASCII)]
 
-    return F.aggregate(steps, start, add, lambda acc: acc["out"])
+    return per_text(give, f"array<{SPAN}>")(text)
 
 
 # ---- cleaning
@@ -86,25 +102,23 @@ def pincites(c: Column) -> Column:
 
 # ---- pages
 
-MARKER = r"(?m)^## PAGE [0-9]+$"
+MARKER = r"(?m)^## PAGE [0-9]{1,9}$"
 STAR, LABEL, PAGE_LABEL, FEED = r"\*([0-9]+)", r'(?<![-\w])label="([0-9]+)"', r'page-label="([0-9]+)"', "\f\\s*([0-9]+)"
 
 
-def page_bounds(text: Column) -> Column:
-    """array<struct<page,start,end>> of text with `## PAGE n` lines; text before the first has no page."""
-    found = spans(text, MARKER)
-    numbered = F.transform(found, lambda x, i: F.struct(F.regexp_extract(x["text"], r"([0-9]+)", 1).cast("int").alias("page"), x["end"].alias("start"), F.coalesce(F.get(found, i + 1)["start"], F.length(text)).alias("end")))
-    return numbered
+_MARK = re.compile(MARKER, re.ASCII)
 
 
-def page_at(bounds: Column, offset: Column) -> Column:
-    """Page of an offset: the last one that starts at or before it."""
-    return F.element_at(F.concat(F.array(F.lit(None).cast("int")), F.transform(F.filter(bounds, lambda b: b["start"] <= offset), lambda b: b["page"])), -1)
+def page_list(text: str) -> list[tuple[int, int, int]]:
+    """(page, start, end) of text with `## PAGE n` lines; text before the first has no page."""
+    found = list(_MARK.finditer(text))
+    ends = [m.start() for m in found[1:]] + [len(text)]
+    return [(int(m[0][8:]), m.end(), e) for m, e in zip(found, ends)]
 
 
-def pages_of(bounds: Column, start: Column, end: Column) -> Column:
-    """Pages that a span touches."""
-    return F.transform(F.filter(bounds, lambda b: (b["start"] < end) & (b["end"] > start)), lambda b: b["page"])
+def page_bounds(text: Column) -> Column:
+    """array<struct<page,start,end>> of text with `## PAGE n` lines."""
+    return per_text(lambda t: [dict(zip(("page", "start", "end"), x)) for x in page_list(t)], "array<struct<page:int,start:int,end:int>>")(text)
 
 
 def page_markers(text: Column) -> Column:
@@ -146,22 +160,26 @@ SENTENCE = "(?<=[.?!])\\s+(?=[A-Z\"'“‘(0-9])"
 LEAST_SENTENCE = 20
 
 
-def sentences(text: Column, least: int = LEAST_SENTENCE) -> Column:
-    """Sentences of plain text; chunks shorter than `least` go to the following one, the last to the one before."""
-    chunks = F.filter(F.transform(F.split(text, SENTENCE, -1), F.trim), lambda x: x != "")
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("held"))
+BREAK = re.compile(SENTENCE, re.ASCII)
 
-    def add(acc: Column, x: Column) -> Column:
-        joined = F.when(acc["held"] == "", x).otherwise(F.concat(acc["held"], F.lit(" "), x))
-        short = F.length(joined) < least
-        return F.struct(F.when(short, acc["out"]).otherwise(F.array_append(acc["out"], joined)).alias("out"), F.when(short, joined).otherwise(F.lit("")).alias("held"))
 
-    def finish(acc: Column) -> Column:
-        n = F.size(acc["out"])
-        last = F.concat(F.element_at(acc["out"], -1), F.lit(" "), acc["held"])
-        return F.when(acc["held"] == "", acc["out"]).when(n == 0, F.array(acc["held"])).otherwise(F.array_append(F.slice(acc["out"], F.lit(1), n - 1), last))
+def sentences(text: Column, least: int = LEAST_SENTENCE) -> Column:
+    """Sentences of plain text; chunks shorter than `least` go to the following one, the last to the one before."""
 
-    return F.aggregate(chunks, start, add, finish)
+    def give(t: str) -> list[str]:
+        out, held = [], ""
+        for x in BREAK.split(t):
+            x = x.strip(" ")
+            if x:
+                held = f"{held} {x}" if held else x
+                if len(held) >= least:
+                    out.append(held)
+                    held = ""
+        if held:
+            out = [*out[:-1], f"{out[-1]} {held}"] if out else [held]
+        return out
+
+    return per_text(give, "array<string>")(text)
 
 
 def snippet(text: Column, start: Column, end: Column, words: int = 30) -> Column:

@@ -1,58 +1,161 @@
-"""Citation extraction: text to mentions, as generators and expressions within a row.
+"""Citation extraction: text to mentions, and the expressions on a mention's text.
 
-A document's matches of all families stay in one array until overlaps are resolved, so extraction
-needs no exchange; rows are exploded last.
+A document is read once, in an Arrow batch: thirty families are matched, overlaps are resolved from the
+left, and what later steps need of the text around a mention (page, sentence, gap, snippet) goes with
+it, so no row carries its whole document and extraction needs no exchange. Overlaps make the choice of
+a mention depend on the one before, which built-in functions can only express as a quadratic fold.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import re
+from bisect import bisect_left, bisect_right
+from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from citeloom.functions import grammar as G
 from citeloom.functions import text as X
 
-MENTION = "struct<start:int,end:int,text:string,priority:int,family:string,type:string>"
-
-
-def matches(text: Column, families: tuple[G.Family, ...] = G.FAMILIES) -> Column:
-    """Every match of every family, unordered."""
-    none = F.array().cast(f"array<{MENTION}>")
-
-    def of(f: G.Family) -> Column:
-        tagged = F.transform(X.spans(text, f.pattern), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"), F.lit(G.PRIORITY[f.id]).alias("priority"), F.lit(f.id).alias("family"), F.lit(f.kind).alias("type")))
-        return F.when(text.rlike(f.needs), tagged).otherwise(none)
-
-    return F.concat(*[of(f) for f in families])
-
-
-def in_order(found: Column) -> Column:
-    """Document order without overlaps: the earliest wins, then the longest, then the family listed first."""
-    key = F.transform(found, lambda m: F.struct(m["start"].alias("start"), (-m["end"]).alias("back"), m["priority"].alias("priority"), m.alias("m")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{MENTION}>").alias("out"))
+MENTION = {"idx": "integer", "family": "string", "type": "string", "full_citation": "string", "span_start": "integer", "span_end": "integer"}
+#: What can go with a mention: the page it begins on, the text from the start of the sentence before it,
+#: the 60 characters behind it, the text since the mention before, a snippet, the first word of the
+#: innermost parenthesis that holds it, and the parenthesis that follows it.
+CONTEXT = {"page": "integer", "lead": "string", "tail": "string", "gap": "string", "snippet": "string", "verb": "string", "follows": "string"}
+ROWS = 20_000
+TAIL = 60
+SNIPPET_WORDS = 30
+
+_PLAIN = str.maketrans(X.ODD_SPACES, " " * len(X.ODD_SPACES))
+_WORD = re.compile(r"\S+", re.ASCII)
+_PAREN = re.compile(r"[()]")
+_VERB = re.compile(r"[A-Za-z]+")
+
+
+@lru_cache
+def _compiled(families: tuple[G.Family, ...]) -> list[tuple[re.Pattern, re.Pattern]]:
+    return [(re.compile(f.needs, re.ASCII), re.compile(f.pattern, re.ASCII)) for f in families]
+
+
+def find(text: str, families: tuple[G.Family, ...] = G.FAMILIES) -> list[tuple[int, int, G.Family]]:
+    """(start, end, family) in document order without overlaps: the earliest wins, then the longest, then the family listed first."""
+    found = []
+    for n, (needs, pattern) in enumerate(_compiled(families)):
+        if needs.search(text):
+            found += [(m.start(), -m.end(), n) for m in pattern.finditer(text)]
+    out, at = [], 0
+    for start, back, n in sorted(found):
+        if start >= at:
+            at = -back
+            out.append((start, at, families[n]))
+    return out
 
-    def add(acc: Column, x: Column) -> Column:
-        free = x["start"] >= acc["at"]
-        return F.struct(F.when(free, x["m"]["end"]).otherwise(acc["at"]).alias("at"), F.when(free, F.array_append(acc["out"], x["m"])).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(F.array_sort(key), start, add, lambda acc: acc["out"])
+def _around(text: str, found: list[tuple[int, int, G.Family]], context: tuple[str, ...]) -> dict[str, list]:
+    """The context columns of a text's mentions; each is one pass over the text."""
+    out: dict[str, list] = {}
+    if "page" in context:
+        pages = X.page_list(text)
+        starts = [p[1] for p in pages]
+        at = [bisect_right(starts, s) - 1 for s, _, _ in found]
+        out["page"] = [pages[i][0] if i >= 0 else None for i in at]
+    if "lead" in context:
+        ends = [m.end() for m in X.BREAK.finditer(text)]
+        at = [bisect_left(ends, s) for s, _, _ in found]
+        out["lead"] = [text[ends[i - 2] if i > 1 else 0 : s] for i, (s, _, _) in zip(at, found)]
+    if "tail" in context:
+        out["tail"] = [text[e : e + TAIL] for _, e, _ in found]
+    if "gap" in context:
+        before = [0] + [e for _, e, _ in found]
+        out["gap"] = [text[a:s] for a, (s, _, _) in zip(before, found)]
+    if "snippet" in context:
+        places = [m.span() for m in _WORD.finditer(text)]
+        begins, ends = [a for a, _ in places], [b for _, b in places]
+        out["snippet"] = [_snippet(text, places, begins, ends, s, e) for s, e, _ in found]
+    if "verb" in context or "follows" in context:
+        out["verb"], out["follows"] = _parentheses(text, found)
+    return out
 
 
-def mentions(docs: DataFrame, text: str = "text", families: tuple[G.Family, ...] = G.FAMILIES) -> DataFrame:
-    """docs without its text, a row for each mention: idx from 0, family, type, full_citation, span_start, span_end."""
-    # a column of its own: sixty expressions read it
-    found = docs.withColumn("_t", X.plain_spaces(F.col(text))).withColumn("_m", in_order(matches(F.col("_t"), families))).drop("_t")
-    # inline, not explode: nested pruning would otherwise evaluate the array once for each field
-    rows = F.transform("_m", lambda m, i: F.struct(i.alias("idx"), m["family"].alias("family"), m["type"].alias("type"), m["text"].alias("full_citation"), m["start"].alias("span_start"), m["end"].alias("span_end")))
-    return found.select(*[c for c in docs.columns if c != text], F.inline(rows))
+def _parentheses(text: str, found: list[tuple[int, int, G.Family]]) -> tuple[list, list]:
+    """For each mention the first word of the innermost parenthesis around it, and the parenthesis right behind it.
+
+    Parentheses that begin within a mention are part of it.
+    """
+    opened: list[int] = []
+    within: list[int | None] = [None] * len(found)
+    close: dict[int, int] = {}
+    k = 0
+    for m in _PAREN.finditer(text):
+        while k < len(found) and found[k][0] < m.start():
+            within[k] = opened[-1] if opened else None
+            k += 1
+        if k and m.start() < found[k - 1][1]:
+            continue
+        if m[0] == "(":
+            opened.append(m.start())
+        elif opened:
+            close[opened.pop()] = m.end()
+    verbs, follows = [], []
+    for a, (_, e, _) in zip(within, found):
+        word = _VERB.match(text, a + 1) if a is not None and a in close else None
+        verbs.append(word[0].lower() if word else None)
+        at = e + (text[e : e + 1] == " ")
+        follows.append(text[at : close[at]] if at in close else None)
+    return verbs, follows
+
+
+def _snippet(text: str, places: list[tuple[int, int]], begins: list[int], ends: list[int], start: int, end: int) -> str:
+    """The span with up to SNIPPET_WORDS words on either side; words that the span cuts count with what is left of them."""
+    first, last = bisect_left(begins, start), bisect_right(ends, end)
+    lead = [text[a : min(b, start)] for a, b in places[max(0, first - SNIPPET_WORDS) : first]]
+    tail = [text[max(a, end) : b] for a, b in places[last : last + SNIPPET_WORDS]]
+    return " ".join([*lead, text[start:end], *tail])
+
+
+def mentions(docs: DataFrame, text: str = "text", families: tuple[G.Family, ...] = G.FAMILIES, context: tuple[str, ...] = ()) -> DataFrame:
+    """docs without its text, a row for each mention: the columns of MENTION and those of CONTEXT that are asked for."""
+    added = MENTION | {c: CONTEXT[c] for c in CONTEXT if c in context}
+    keep = [c for c in docs.columns if c != text and c not in added]
+    schema = T.StructType([docs.schema[c] for c in keep])
+    for name, kind in added.items():
+        schema = schema.add(name, kind)
+    kinds = [pa.int32() if k == "integer" else pa.string() for k in added.values()]
+
+    def run(batches):
+        for batch in batches:
+            origin, cols = [], [[] for _ in added]
+
+            def taken() -> pa.RecordBatch:
+                kept = batch.take(pa.array(origin, pa.int64()))
+                return pa.RecordBatch.from_arrays([*[kept.column(c) for c in keep], *[pa.array(c, k) for c, k in zip(cols, kinds)]], names=[*keep, *added])
+
+            for i, t in enumerate(batch.column(text).to_pylist()):
+                if not t:
+                    continue
+                t = t.translate(_PLAIN)
+                found = find(t, families)
+                own = [range(len(found)), [f.id for _, _, f in found], [f.kind for _, _, f in found], [t[s:e] for s, e, _ in found], [s for s, _, _ in found], [e for _, e, _ in found]]
+                around = _around(t, found, context)
+                for c, values in zip(cols, [*own, *[around[c] for c in added if c in around]]):
+                    c += values
+                origin += [i] * len(found)
+                if len(origin) >= ROWS:
+                    yield taken()
+                    origin, cols = [], [[] for _ in added]
+            yield taken()
+
+    return docs.select(*keep, text).mapInArrow(run, schema)
 
 
 # ---- components
 
 VOL_REP_PAGE = rf"([0-9]+)\s+({G.REP})\s+(?:at\s+)?([0-9]+)"
-FIELDS = ("source_name", "volume", "reporter", "start_page", "pincite", "court", "year", "title", "code", "section", "subsection", "rule_set", "rule_number", "author", "work_title", "url")
+FIELDS = ("source_name", "volume", "reporter", "start_page", "pincite", "court", "year", "title", "code", "section", "subsection", "rule_set", "rule_number", "author", "work_title", "journal", "url")
+_INTS = ("volume", "start_page", "year", "title")
 
 
 def part(c: Column, pattern: str, group: int = 1) -> Column:
@@ -64,65 +167,11 @@ def compose_source_name(plaintiff: Column, defendant: Column) -> Column:
     return F.when(p.isNotNull() & d.isNotNull(), F.concat(p, F.lit(" v. "), d)).otherwise(F.coalesce(p, d))
 
 
-def _parenthesis(c: Column) -> Column:
-    return part(c, r"\(([^()]*[0-9]{4})\)\s*$")
-
-
-def case_fields(c: Column) -> dict[str, Column]:
-    court = F.trim(F.regexp_replace(_parenthesis(c), r"[0-9]{4}$", ""))
-    return {
-        "source_name": compose_source_name(part(c, r"^(.*?) v\. "), part(c, r" v\. (.*?),\s+[0-9]")),
-        "volume": X.to_int(part(c, VOL_REP_PAGE, 1)),
-        "reporter": F.regexp_replace(part(c, VOL_REP_PAGE, 2), r"\s+", " "),
-        "start_page": X.to_int(part(c, VOL_REP_PAGE, 3)),
-        "pincite": X.pincites(part(c, rf"{G.REP}\s+[0-9]+, ({G.PIN})", 1)),
-        "court": X.blank_to_null(court),
-        "year": X.to_int(part(c, r"([0-9]{4})\)\s*$")),
-    }
-
-
-def law_fields(c: Column) -> dict[str, Column]:
-    code = F.coalesce(part(c, r"(U\.S\.C\.|C\.F\.R\.|Fed\. Reg\.)"), F.trim(part(c, r"^([A-Z][^§]*?(?:Code|Law|Laws|Stat\.|Const\.)(?: Ann\.)?)")))
-    return {
-        "title": X.to_int(part(c, r"^([0-9]+)\s")),
-        "code": code,
-        "section": F.coalesce(part(c, rf"§§?\s*({G.SECTION})"), part(c, rf"(?:U\.S\.C\.|C\.F\.R\.)\s+(?:pt\. )?({G.SECTION})"), part(c, r"Fed\. Reg\. ([0-9,]+)")),
-        "subsection": part(c, rf"({G.SUBSECTIONS}+)(?:\s|$)"),
-        "year": X.to_int(part(c, r"\(([0-9]{4})\)\s*$")),
-    }
-
-
 def title_or_chapter(title: Column, chapter: Column) -> Column:
     return F.coalesce(F.nullif(title, F.lit(0)), chapter)
 
 
-def rule_fields(c: Column) -> dict[str, Column]:
-    return {"rule_set": F.trim(part(c, r"^(.*?)\s*[0-9]")), "rule_number": part(c, r"([0-9]+(?:\.[0-9]+)?(?:[-–][0-9]+)?)")}
-
-
-def secondary_fields(c: Column) -> dict[str, Column]:
-    return {
-        "author": F.coalesce(part(c, r"^[0-9]+ ([^,]+),"), part(c, r"^([A-Z][^,]*), ")),
-        "work_title": F.coalesce(part(c, r"^(Restatement \([A-Za-z]+\) of [A-Z][\w ]*?) §"), part(c, r"^[0-9]+ [^,]+, ([^§]+?) §"), part(c, r"^[^,]+, (.+?), [0-9]+ [A-Z]")),
-        "url": part(c, r"((?:https?://|www\.)\S+)"),
-    }
-
-
-def short_pincite(c: Column) -> Column:
-    return X.pincites(part(c, rf"\bat ({G.PIN})\s*$"))
-
-
-def _null(name: str) -> Column:
-    kind = {"volume": "int", "start_page": "int", "year": "int", "title": "int", "pincite": "array<int>"}.get(name, "string")
-    return F.lit(None).cast(kind)
-
-
-def _groups(c: Column, pattern: str, n: int) -> Column:
-    """The n groups of a pattern that matches the whole text, in one pass; an array of one item if it does not."""
-    return F.split(F.regexp_replace(c, f"^{pattern}$", "\x01".join(f"${i + 1}" for i in range(n)) + "\x01"), "\x01")
-
-
-#: Of the frequent families: all components in one match. Names of the groups, and their pattern.
+#: Of the frequent families: all components in one match of the whole citation. Names of the groups, and their pattern.
 ONE_PASS = {
     "P01": (("plaintiff", "defendant", "volume", "reporter", "start_page", "pincite", "court", "year"), rf"(.*?) v\. (.*?),\s+([0-9]+)\s+({G.REP})\s+([0-9]+)(?:, ({G.PIN}))?(?:\s+\((?:([^()]*)\s)?([0-9]{{4}})\))?"),
     "P09": (("title", "code", "section", "subsection", "year"), rf"([0-9]+)\s+(U\.S\.C\.)\s+(?:§§?\s*)?({G.SECTION})({G.SUBSECTIONS}*)(?:\s+\(([0-9]{{4}})\))?"),
@@ -131,48 +180,90 @@ ONE_PASS = {
     "P25": (("volume", "reporter", "pincite"), rf"([0-9]+)\s+({G.REP})\s+at\s+({G.PIN})"),
     "P26": (("source_name", "pincite"), rf"(?:(.*?), )?supra(?: note [0-9]+)?(?:,? at ({G.PIN}))?"),
     "P23": (("pincite",), rf"[Ii]d\.(?:,? at ({G.PIN}))?"),
+    "P19": (("author", "work_title", "volume", "journal", "start_page", "pincite", "year"), rf"([^,]+), (.+?), ([0-9]+) ([A-Z][\w.&' ]*?(?:L\. Rev\.|L\.J\.|J\.L\.|Rev\.)) ([0-9]+)(?:, ({G.PIN}))? \(([0-9]{{4}})\)"),
 }
-_INTS = ("volume", "start_page", "year", "title")
-
-
-def _one_pass(family: str, name: str) -> Column | None:
-    names = ONE_PASS[family][0]
-    at = lambda x: X.blank_to_null(F.get("_g", F.lit(names.index(x))))
-    if name == "source_name" and "plaintiff" in names:
-        return compose_source_name(at("plaintiff"), at("defendant"))
-    if name not in names:
-        return None
-    if name == "pincite":
-        return X.pincites(at(name))
-    return X.to_int(at(name)) if name in _INTS else F.regexp_replace(at(name), r"\s+", " ") if name == "reporter" else at(name)
+_YEAR = (r"([0-9]{4})\)\s*$",)
+_LAW = {
+    "title": (r"^([0-9]+)\s",),
+    "code": (r"(U\.S\.C\.|C\.F\.R\.|Fed\. Reg\.)", r"^([A-Z][^§]*?(?:Code|Law|Laws|Stat\.|Const\.)(?: Ann\.)?)"),
+    "section": (rf"§§?\s*({G.SECTION})", rf"(?:U\.S\.C\.|C\.F\.R\.)\s+(?:pt\. )?({G.SECTION})", r"Fed\. Reg\. ([0-9,]+)"),
+    "subsection": (rf"({G.SUBSECTIONS}+)(?:\s|$)",),
+    "year": (r"\(([0-9]{4})\)\s*$",),
+}
+_SHORT_PIN = (rf"\bat ({G.PIN})\s*$",)
+#: Of the others, by type: for each component the patterns to try, the first group of the first that is found.
+BY_TYPE = {
+    "case": {"plaintiff": (r"^(.*?) v\. ",), "defendant": (r" v\. (.*?),\s+[0-9]",), "volume": (VOL_REP_PAGE,), "reporter": (rf"[0-9]+\s+({G.REP})\s+(?:at\s+)?[0-9]+",), "start_page": (rf"[0-9]+\s+{G.REP}\s+(?:at\s+)?([0-9]+)",), "pincite": (rf"{G.REP}\s+[0-9]+, ({G.PIN})",), "court": (r"\(([^()]*)[0-9]{4}\)\s*$",), "year": _YEAR},
+    "statute": _LAW,
+    "regulation": _LAW,
+    "rule": {"rule_set": (r"^(.*?)\s*[0-9]",), "rule_number": (r"([0-9]+(?:\.[0-9]+)?(?:[-–][0-9]+)?)",)},
+    "secondary": {
+        "author": (r"^[0-9]+ ([^,]+),", r"^([A-Z][^,]*), "),
+        "work_title": (r"^(Restatement \([A-Za-z]+\) of [A-Z][\w ]*?) §", r"^[0-9]+ [^,]+, ([^§]+?) §", r"^[^,]+, (.+?), [0-9]+ [A-Z]"),
+        "url": (r"((?:https?://|www\.)\S+)",),
+        "year": _YEAR,
+        "section": (rf"§ ({G.SECTION})",),
+    },
+    "short_case": {"source_name": (r"^(.*?), [0-9]+\s",), "volume": (VOL_REP_PAGE,), "reporter": (rf"[0-9]+\s+({G.REP})\s+(?:at\s+)?[0-9]+",), "pincite": _SHORT_PIN},
+    "supra": {"source_name": (r"^(.*?), supra",), "pincite": _SHORT_PIN},
+    "id": {"pincite": _SHORT_PIN},
+}
+_WHOLE = {f: (names, re.compile(p, re.ASCII)) for f, (names, p) in ONE_PASS.items()}
+_TRIED = {t: {n: [re.compile(p, re.ASCII) for p in ps] for n, ps in fields.items()} for t, fields in BY_TYPE.items()}
+_INTEGER = re.compile(r"[+-]?[0-9]+")
+_SPACES = re.compile(r"\s+", re.ASCII)
+_AT = re.compile(r"^[at ]+")
+_DASH = str.maketrans("–—", "--")
+
+
+def _int(text: str | None) -> int | None:
+    t = (text or "").strip(" ")
+    return int(t) if _INTEGER.fullmatch(t) and abs(int(t)) < 1 << 31 else None
+
+
+def _pages(text: str | None) -> list[int]:
+    """The rule of `text.pincites`."""
+    firsts = [_int(_AT.sub("", x.strip(" ")).split("-")[0]) for x in (text or "").translate(_DASH).split(",")]
+    return [n for n in firsts if n is not None]
+
+
+@lru_cache(1 << 16)
+def parts_of(citation: str, family: str, kind: str) -> tuple:
+    """The components of a citation, in the order of FIELDS."""
+    names, pattern = _WHOLE.get(family, ((), None))
+    whole = pattern.fullmatch(citation) if pattern else None
+    if whole:
+        got = dict(zip(names, whole.groups()))
+    elif family in ("P30", "P23"):
+        got = {}
+    else:
+        hits = {n: next((m for m in (p.search(citation) for p in ps) if m), None) for n, ps in _TRIED.get(kind, {}).items()}
+        got = {n: m[1] for n, m in hits.items() if m}
+    got = {n: v.strip(" ") if n in ("code", "court", "rule_set") else v for n, v in got.items() if v and v.strip(" ")}
+    sides = [got[n] for n in ("plaintiff", "defendant") if n in got]
+    if sides:
+        got["source_name"] = " v. ".join(sides)
+    if "reporter" in got:
+        got["reporter"] = _SPACES.sub(" ", got["reporter"])
+    return tuple(_pages(got.get(n)) if n == "pincite" else _int(got.get(n)) if n in _INTS else got.get(n) or None for n in FIELDS)
 
 
 def components(found: DataFrame) -> DataFrame:
     """Mentions with the columns of FIELDS, each null where its type has no such thing, pincite never null."""
-    c = F.col("full_citation")
-    split = F.lit(None).cast("array<string>")
-    for family, (names, pattern) in ONE_PASS.items():
-        split = F.when(F.col("family") == family, _groups(c, pattern, len(names))).otherwise(split)
-    found = found.withColumn("_g", F.when(F.size(split) > 1, split))
-    by_type = {
-        "case": case_fields(c),
-        "statute": law_fields(c),
-        "regulation": law_fields(c),
-        "rule": rule_fields(c),
-        "secondary": secondary_fields(c) | {"year": X.to_int(part(c, r"([0-9]{4})\)\s*$")), "section": part(c, rf"§ ({G.SECTION})")},
-        "short_case": {"source_name": part(c, r"^(.*?), [0-9]+\s"), "volume": X.to_int(part(c, VOL_REP_PAGE, 1)), "reporter": F.regexp_replace(part(c, VOL_REP_PAGE, 2), r"\s+", " "), "pincite": short_pincite(c)},
-        "supra": {"source_name": part(c, r"^(.*?), supra"), "pincite": short_pincite(c)},
-        "id": {"pincite": short_pincite(c)},
-    }
-    out = {}
-    for name in FIELDS:
-        slow = reduce(lambda acc, kv: F.when(F.col("type") == kv[0], kv[1][name]).otherwise(acc), [kv for kv in by_type.items() if name in kv[1]], _null(name))
-        value = F.when(F.col("_g").isNull() & ~F.col("family").isin("P30", "P23"), slow).otherwise(_null(name))
-        for family in ONE_PASS:
-            fast = _one_pass(family, name)
-            value = F.when((F.col("family") == family) & F.col("_g").isNotNull(), _null(name) if fast is None else fast).otherwise(value)
-        out[name] = F.coalesce(value, F.array().cast("array<int>")) if name == "pincite" else value
-    return found.withColumns(out).drop("_g")
+    keep = [c for c in found.columns if c not in FIELDS]
+    schema = T.StructType([found.schema[c] for c in keep])
+    kinds = []
+    for n in FIELDS:
+        schema = schema.add(n, T.ArrayType(T.IntegerType()) if n == "pincite" else T.IntegerType() if n in _INTS else T.StringType())
+        kinds.append(pa.list_(pa.int32()) if n == "pincite" else pa.int32() if n in _INTS else pa.string())
+
+    def run(batches):
+        for batch in batches:
+            rows = list(map(parts_of, *(batch.column(c).to_pylist() for c in ("full_citation", "family", "type"))))
+            cols = list(zip(*rows)) or [()] * len(FIELDS)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *[pa.array(c, k) for c, k in zip(cols, kinds)]], names=[*keep, *FIELDS])
+
+    return found.select(*keep).mapInArrow(run, schema)
 
 
 def reclassified(found: DataFrame) -> DataFrame:
@@ -181,6 +272,12 @@ def reclassified(found: DataFrame) -> DataFrame:
     return found.withColumn("type", F.when(law & F.col("code").isin("C.F.R.", "Fed. Reg."), "regulation").when(law & F.col("code").contains("Const."), "constitutional").otherwise(F.col("type")))
 
 
+def dispatched(found: DataFrame) -> DataFrame:
+    """Types outside the closed list (of families that a caller adds) become `other`, with the type as `class`."""
+    known = F.col("type").isin(*sorted(G.TYPES))
+    return found.withColumn("class", F.when(~known, F.col("type"))).withColumn("type", F.when(known, F.col("type")).otherwise("other"))
+
+
 # ---- one row for each thing cited
 
 
@@ -220,23 +317,23 @@ def with_gap_pass(grammar: DataFrame, gaps: DataFrame, doc: str = "doc_id") -> D
     return grammar.unionByName(new, allowMissingColumns=True)
 
 
-def signal(text: Column, start: Column) -> Column:
-    """Name of the signal that ends right before a citation, or `none`."""
-    before = F.lower(F.substring(text, F.greatest(start - 29, F.lit(1)), F.least(start, F.lit(30))))
+def signal(lead: Column) -> Column:
+    """Name of the signal that ends the text before a citation, or `none`."""
+    before = F.lower(F.right(lead, F.lit(30)))
     out = F.lit("none")
     for words, name in reversed(G.SIGNALS.items()):
         out = F.when(before.rlike(r"(?:^|[^a-z])" + words.replace(".", r"\.").replace(" ", r"\s+") + r"\s*$"), name).otherwise(out)
     return out
 
 
-def history(text: Column, end: Column) -> Column:
-    """Subsequent history right after a citation."""
-    return part(F.substring(text, end + 1, 60), rf"^,? ({G.HISTORY})")
+def history(tail: Column) -> Column:
+    """Subsequent history at the beginning of the text behind a citation."""
+    return part(tail, rf"^,? ({G.HISTORY})")
 
 
-def repaired_subsection(text: Column, end: Column, subsection: Column) -> Column:
-    """A statute's subsection, or the one that follows its span."""
-    return F.coalesce(subsection, part(F.substring(text, end + 1, 40), rf"^({G.SUBSECTIONS}+)"))
+def repaired_subsection(tail: Column, subsection: Column) -> Column:
+    """A statute's subsection, or the one that the text behind it begins with."""
+    return F.coalesce(subsection, part(tail, rf"^\s?({G.SUBSECTIONS}+)"))
 
 
 def parenthetical_kind(c: Column) -> Column:
@@ -245,13 +342,72 @@ def parenthetical_kind(c: Column) -> Column:
     return F.when(verb == "quoting", "entry").when(verb.isin("citing", "discussing", "applying", "overruling"), "flag").when(verb == "holding", "attribute").otherwise("none")
 
 
-def proposition(text: Column, start: Column, end: Column) -> Column:
-    """The words of the sentence around a span that come before it, citation removed."""
-    before = F.substring(text, 1, start)
-    last = F.element_at(F.split(before, X.SENTENCE, -1), -1)
-    own = F.trim(F.regexp_replace(last, r"(?i)(?:see generally|see, e\.g\.,|see also|but see|but cf\.|see|cf\.|accord|contra)\s*$", ""))
-    previous = F.get(F.reverse(F.split(before, X.SENTENCE, -1)), F.lit(1))
-    return F.trim(F.coalesce(X.blank_to_null(own), previous))
+def proposition(lead: Column) -> Column:
+    """The words of a citation's sentence that come before it, without signal; those of the sentence before if there are none."""
+    pieces = F.split(lead, X.SENTENCE, -1)
+    own = F.trim(F.regexp_replace(F.element_at(pieces, -1), r"(?i)(?:see generally|see, e\.g\.,|see also|but see|but cf\.|see|cf\.|accord|contra)\s*$", ""))
+    return F.trim(F.coalesce(X.blank_to_null(own), F.try_element_at(pieces, F.lit(-2))))
+
+
+ENTRY, ATTRIBUTE, DESCRIBES = "quoting", "holding", ("citing", "discussing", "applying", "overruling")
+
+
+def parentheticals(found: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """Mentions (with verb and follows) with parent_idx, own_entry, flagged and holding.
+
+    What a `quoting` parenthesis holds is cited by the document itself; what one of DESCRIBES holds is
+    not, and is flagged. parent_idx is the last citation before that stands in no such parenthesis.
+    """
+    inside = F.col("verb").isin(ENTRY, *DESCRIBES)
+    before = Window.partitionBy(doc).orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+    parent = F.last(F.when(~F.coalesce(inside, F.lit(False)), F.col("idx")), ignorenulls=True).over(before)
+    holding = part(F.col("follows"), r"(?is)^\(holding (?:that )?(.*)\)$")
+    return found.withColumns({"parent_idx": F.when(inside, parent), "own_entry": ~F.coalesce(F.col("verb").isin(*DESCRIBES), F.lit(False)), "flagged": F.coalesce(F.col("verb").isin(*DESCRIBES), F.lit(False)), "holding": holding})
+
+
+def bare_sections(found: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """Components with what a bare `§ 230` stands for: title, code and subsection of the nearest specific citation of its section.
+
+    Specific is a statute with its code and subsection; the last one before counts, else the first one
+    after. A bare section that has no subsection of its own and finds none is `ambiguous`.
+    """
+    bare = F.col("family") == "P29"
+    specific = F.when((F.col("type") == "statute") & ~bare & F.col("code").isNotNull() & F.col("subsection").isNotNull(), F.struct("title", "code", "subsection"))
+    order = Window.partitionBy(doc, "section").orderBy("idx")
+    before = F.last(specific, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.first(specific, ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    near = found.withColumn("_near", F.when(bare, F.coalesce(before, after)))
+    filled = {c: F.coalesce(F.col(c), F.col(f"_near.{c}")) for c in ("title", "code", "subsection")}
+    return near.withColumns(filled).withColumn("ambiguous", bare & F.col("subsection").isNull()).drop("_near")
+
+
+#: Later treatment that takes away from an authority.
+NEGATIVE = r"rev['’]d|vacated|overruled|abrogated by"
+
+
+def with_flags(found: DataFrame) -> DataFrame:
+    """Mentions with `flags`, names of all that is uncertain, by the columns that are there.
+
+    Of resolution: flags. Of bare_sections: ambiguous. Of parentheticals: flagged. Of context: lead
+    (a citation without a proposition) and tail (negative history).
+    """
+    has = set(found.columns)
+    c = F.col
+    checks = [
+        ("informal_reference", c("family").isin("P07", "P11", "P27")),
+        ("ambiguous_proposition", X.blank_to_null(proposition(c("lead"))).isNull() if "lead" in has else None),
+        ("ambiguous_section_reference", c("ambiguous") if "ambiguous" in has else None),
+        ("uncertain_category", c("type").isin("unknown", "other")),
+        ("citing_parenthetical", c("flagged") if "flagged" in has else None),
+        ("subsequent_negative_history", F.coalesce(history(c("tail")).rlike(f"^(?:{NEGATIVE})$"), F.lit(False)) if "tail" in has else None),
+    ]
+    own = flags(*[(n, x) for n, x in checks if x is not None])
+    return found.withColumn("flags", F.array_sort(F.array_distinct(F.concat(c("flags"), own))) if "flags" in has else F.array_sort(own))
+
+
+def short_label(source_name: Column, citation: Column) -> Column:
+    """First party of a case, without what follows a comma; anything else as cited."""
+    return F.coalesce(X.blank_to_null(F.regexp_extract(source_name, r"^(.*?)(?:,| v\. |$)", 1)), citation)
 
 
 LEVELS = (("U.S.", "scotus"), ("S. Ct.", "scotus"), ("L. Ed.", "scotus"), ("F. Supp.", "district"), ("F.4th", "circuit"), ("F.3d", "circuit"), ("F.2d", "circuit"), ("F. App", "circuit"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +13,6 @@ SPAN = r'<span class="citation[^"]*"[^>]*>.*?</span>'
 FORWARD = 1500
 NEEDLE = 120
 CHECKPOINT = 8
-MOST_HOPS = 12  # of the SQL only
 MOST_CANDIDATES = 5
 
 
@@ -79,45 +77,20 @@ def next_hop(found: Column, visited: Column) -> Column:
 
 # ---- walks
 
-ADJACENCY_LIMIT = 2_000_000
-
-
 def adjacency(edges: DataFrame) -> DataFrame:
     """src, nbrs: linked targets in order, without repeats."""
     linked = edges.filter(~F.col("no_link")).groupBy("src").agg(F.sort_array(F.collect_list(F.struct("ord", "dst"))).alias("x"))
     return linked.select("src", F.array_distinct(F.transform("x", lambda y: y["dst"])).alias("nbrs"))
 
 
-def walk(edges: DataFrame, seeds: DataFrame, most_hops: int | None = None, limit: int = ADJACENCY_LIMIT) -> DataFrame:
+def walk(edges: DataFrame, seeds: DataFrame, most_hops: int | None = None) -> DataFrame:
     """root, path: from each seed to the first unvisited target of each opinion, until none is left.
 
-    A graph of at most `limit` edges is broadcast and each walk is made within its row; a larger one
-    is walked by frontier, a join for each hop. Only `most_hops` cuts a walk.
+    All walks go one hop at a time, by a join of their last opinions with the adjacency; only `most_hops`
+    cuts a walk. A round reads the walks that are still under way and nothing else.
     """
-    adj = adjacency(edges)
-    if edges.count() > limit:
-        return _walk_by_frontier(adj, seeds, most_hops)
-    nbrs = {r["src"]: list(r["nbrs"]) for r in adj.collect()}
-    graph = edges.sparkSession.sparkContext.broadcast(nbrs)
-
-    def run(batches):
-        known = graph.value
-        for batch in batches:
-            for root in batch.column(0).to_pylist():
-                path, seen = [root], {root}
-                while most_hops is None or len(path) <= most_hops:
-                    t = next((x for x in known.get(path[-1], ()) if x is not None and x not in seen), None)
-                    if t is None:
-                        break
-                    path.append(t)
-                    seen.add(t)
-                yield pa.RecordBatch.from_arrays([pa.array([root], pa.int64()), pa.array([path], pa.list_(pa.int64()))], names=["root", "path"])
-
-    return seeds.select(F.col("opinion_id").cast("long").alias("root")).mapInArrow(run, "root long, path array<long>")
-
-
-def _walk_by_frontier(adj: DataFrame, seeds: DataFrame, most_hops: int | None) -> DataFrame:
-    live = seeds.select(F.col("opinion_id").alias("root"), F.array("opinion_id").alias("path"))
+    adj = _cut(adjacency(edges))
+    live = seeds.select(F.col("opinion_id").cast("long").alias("root"), F.array(F.col("opinion_id").cast("long")).alias("path"))
     done, hop = [], 0
     while most_hops is None or hop < most_hops:
         joined = live.join(adj, F.element_at("path", -1) == F.col("src"), "left").withColumn("t", F.expr("get(filter(coalesce(nbrs, array()), x -> NOT array_contains(path, x)), 0)"))
@@ -148,14 +121,17 @@ def hops(walks: DataFrame) -> DataFrame:
     return rows.select("root", "hop_index", "opinion_id", F.when(F.col("hop_index") > 0, F.element_at("path", F.col("hop_index"))).alias("parent"))
 
 
-def terminals(walks: DataFrame, edges: DataFrame) -> DataFrame:
-    """root, hops, last, terminal_reason, cycle_path of each walk."""
+def terminals(walks: DataFrame, edges: DataFrame, opinions: DataFrame | None = None) -> DataFrame:
+    """root, hops, last, terminal_reason, cycle_path of each walk; where opinions are given, a last one that is not among them is missing."""
     laws = edges.groupBy("src").agg(F.collect_set(F.when(~F.col("no_link"), F.col("dst"))).alias("linked"), F.count_if("no_link").alias("laws"))
-    last = F.element_at("path", -1)
-    joined = walks.withColumn("last", last).join(laws, F.col("last") == F.col("src"), "left")
+    joined = walks.withColumn("last", F.element_at("path", -1)).join(laws, F.col("last") == F.col("src"), "left")
+    if opinions is None:
+        joined = joined.withColumn("_known", F.lit(True))
+    else:
+        joined = joined.join(opinions.select(F.col("opinion_id").alias("_o"), F.lit(True).alias("_known")), F.col("last") == F.col("_o"), "left")
     linked = F.coalesce("linked", F.array().cast("array<bigint>"))
     free = F.filter(linked, lambda x: ~F.array_contains("path", x))
-    reason = F.when(F.size(free) > 0, "hop_limit").when(F.coalesce("laws", F.lit(0)) > 0, "cites_statute").when(F.size(linked) > 0, "cycle_detected").otherwise("no_outbound_for_proposition")
+    reason = F.when(F.size(free) > 0, "hop_limit").when(F.col("_known").isNull(), "courtlistener_missing").when(F.coalesce("laws", F.lit(0)) > 0, "cites_statute").when(F.size(linked) > 0, "cycle_detected").otherwise("no_outbound_for_proposition")
     closing = F.array_min(F.filter(linked, lambda x: F.array_contains("path", x)))
     out = joined.withColumn("terminal_reason", reason)
     return out.select("root", (F.size("path") - 1).alias("hops"), "last", "terminal_reason", F.when(F.col("terminal_reason") == "cycle_detected", F.array_append("path", closing)).alias("cycle_path"))
@@ -258,8 +234,8 @@ def summary_critic(hop_rows: DataFrame, notes: DataFrame | None = None) -> DataF
     return hop_rows.withColumn("note", F.lit(None).cast("string")) if notes is None else hop_rows.join(notes.select("root", "note"), "root", "left")
 
 
-def methodology(hop_rows: DataFrame) -> DataFrame:
-    """Counts over all walks: opinions fetched, hops, checkpoints."""
-    return hop_rows.agg(F.countDistinct("opinion_id").alias("opinions_fetched"), F.count_if(F.col("hop_index") > 0).alias("hops"), F.countDistinct("root").alias("walks"), F.count_if(F.col("hop_index") % CHECKPOINT == CHECKPOINT - 1).alias("checkpoints"))
-
-
+def methodology(hop_rows: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """Counts over all walks: opinions fetched, hops, checkpoints, and fan-outs, hops from an opinion with several targets."""
+    wide = None if edges is None else adjacency(edges).filter(F.size("nbrs") > 1).select(F.col("src").alias("_w"))
+    rows = hop_rows.withColumn("_w", F.lit(None)) if wide is None else hop_rows.join(wide, F.col("parent") == F.col("_w"), "left")
+    return rows.agg(F.countDistinct("opinion_id").alias("opinions_fetched"), F.count_if(F.col("hop_index") > 0).alias("hops"), F.countDistinct("root").alias("walks"), F.count_if(F.col("hop_index") % CHECKPOINT == CHECKPOINT - 1).alias("checkpoints"), F.count("_w").alias("fan_outs"))

@@ -1,8 +1,9 @@
 """Resolution of short forms against the citations before them in the same document.
 
 Input: mentions with doc, idx and the components of `extract.components`. Short and supra forms are
-keyed first, by as-of joins on equality of document and reporter or party; then Id. takes the key of the
-citation before it, by one ordered window. Every join and window is partitioned by document.
+keyed first, by windows over the citations of the same document and case or party: the last one before.
+Then Id. takes the key of the citation before it, by one ordered window. Every window and join is
+partitioned by document, and none compares a short form with all citations before it.
 """
 
 from __future__ import annotations
@@ -35,20 +36,28 @@ def party_token(c: Column) -> Column:
 
 
 def as_of_short(m: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """(doc, idx, key) of short cases: the latest earlier case of that volume and reporter that begins at or before the pincite, else of that party."""
-    s = m.filter("type = 'short_case' AND volume IS NOT NULL").select(F.col(doc).alias("_d"), F.col("idx").alias("_i"), F.col("volume").alias("_v"), F.col("reporter").alias("_r"), F.get("pincite", F.lit(0)).alias("_p"))
-    f = m.filter("type = 'case' AND reporter IS NOT NULL").select(doc, "idx", "volume", "reporter", "start_page", full_key().alias("key"))
-    hit = s.join(f, (F.col("_d") == F.col(doc)) & (F.col("_v") == F.col("volume")) & (F.col("_r") == F.col("reporter")) & (F.col("idx") < F.col("_i")) & F.coalesce(F.col("_p") >= F.col("start_page"), F.lit(True)))
-    return hit.groupBy(F.col("_d").alias(doc), F.col("_i").alias("idx")).agg(F.max_by("key", "idx").alias("key"))
+    """(doc, idx, key) of short cases: the latest earlier case of that volume and reporter that begins at or before the pincite.
+
+    A short form asks each distinct case of its volume (rarely more than one) for its last mention so far.
+    """
+    case = m.filter("type = 'case' AND reporter IS NOT NULL").select(doc, "idx", "volume", "reporter", "start_page", full_key().alias("key"))
+    known = case.select(doc, "volume", "reporter", "start_page", "key").distinct()
+    short = m.filter("type = 'short_case' AND volume IS NOT NULL").select(doc, "idx", "volume", "reporter", F.get("pincite", F.lit(0)).alias("_p"))
+    asked = short.join(known, [doc, "volume", "reporter"]).filter(F.coalesce(F.col("_p") >= F.col("start_page"), F.lit(True)))
+    events = case.select(doc, "key", "idx", F.col("idx").alias("_at")).unionByName(asked.select(doc, "key", "idx", F.lit(None).cast("int").alias("_at")))
+    before = Window.partitionBy(doc, "key").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+    hit = events.withColumn("_last", F.max("_at").over(before)).filter("_at IS NULL AND _last IS NOT NULL")
+    return hit.groupBy(doc, "idx").agg(F.max_by("key", "_last").alias("key"))
 
 
 def as_of_party(m: DataFrame, kinds: tuple[str, ...] = ("supra",), doc: str = "doc_id") -> DataFrame:
     """(doc, idx, key): the latest earlier case with the named party on either side."""
-    s = m.filter(F.col("type").isin(*kinds) & F.col("source_name").isNotNull()).select(F.col(doc).alias("_d"), F.col("idx").alias("_i"), party_token(F.col("source_name")).alias("_p"))
     sides = F.array_distinct(F.transform(F.split("source_name", r" v\. "), party_token))
-    f = m.filter("type = 'case' AND source_name IS NOT NULL").select(doc, "idx", full_key().alias("key"), F.explode(sides).alias("party"))
-    hit = s.join(f, (F.col("_d") == F.col(doc)) & (F.col("_p") == F.col("party")) & (F.col("idx") < F.col("_i")))
-    return hit.groupBy(F.col("_d").alias(doc), F.col("_i").alias("idx")).agg(F.max_by("key", "idx").alias("key"))
+    case = m.filter("type = 'case' AND source_name IS NOT NULL").select(doc, "idx", F.explode(sides).alias("_p"), full_key().alias("key"))
+    asked = m.filter(F.col("type").isin(*kinds) & F.col("source_name").isNotNull()).select(doc, "idx", party_token(F.col("source_name")).alias("_p"), F.lit(None).cast("string").alias("key"))
+    before = Window.partitionBy(doc, "_p").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+    events = case.withColumn("_asks", F.lit(False)).unionByName(asked.withColumn("_asks", F.lit(True))).filter("_p IS NOT NULL")
+    return events.withColumn("key", F.last("key", ignorenulls=True).over(before)).filter("_asks AND key IS NOT NULL").select(doc, "idx", "key")
 
 
 def resolve(m: DataFrame, doc: str = "doc_id") -> DataFrame:
@@ -80,13 +89,11 @@ def second_pass(m: DataFrame, gaps: DataFrame, doc: str = "doc_id") -> DataFrame
     return resolve(every.withColumn("idx", F.row_number().over(order) - 1), doc)
 
 
-def string_groups(m: DataFrame, text: Column, doc: str = "doc_id") -> DataFrame:
-    """m with group_no: citations between which only a semicolon and signals stand share one; proposition_group if it has several."""
+def string_groups(m: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """m (with `gap`) with group_no: citations between which only a semicolon and signals stand share one; proposition_group if it has several."""
     order = Window.partitionBy(doc).orderBy("span_start")
-    end = F.lag("span_end").over(order)
-    gap = F.substring(text, end + 1, F.col("span_start") - end)
-    fresh = ~F.coalesce(gap.rlike(r"^\s*(?:\([^()]*\))?\s*;\s*(?:[A-Za-z.,]+\s*){0,3}$"), F.lit(False))
-    numbered = m.withColumn("_fresh", fresh.cast("int")).withColumn("group_no", F.sum("_fresh").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_fresh")
+    linked = F.col("gap").rlike(r"^\s*(?:\([^()]*\))?\s*;\s*(?:[A-Za-z.,]+\s*){0,3}$") & (F.row_number().over(order) > 1)
+    numbered = m.withColumn("_fresh", (~F.coalesce(linked, F.lit(False))).cast("int")).withColumn("group_no", F.sum("_fresh").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_fresh")
     size = F.count(F.lit(1)).over(Window.partitionBy(doc, "group_no"))
     return numbered.withColumn("proposition_group", F.when(size > 1, F.concat(F.lit("group-"), F.col("group_no").cast("string"))))
 

@@ -31,44 +31,52 @@ def anchor(subsection: Column) -> Column:
     return F.when(F.size(inner) > 0, F.array_join(inner, "_")).when(~subsection.contains("("), bare)
 
 
+# What a container's class holds, and how the two kinds of pages mark an anchor.
+CONTAINERS = ("subsection", "paragraph", "psection")
+ANCHOR_SPAN = "enumxml"
+
+
 class _Sections(HTMLParser):
     """Text of the divs whose class tokens hold `section`, and of one anchor's container.
 
-    The container is the innermost open element whose class has `subsect` in it when the anchor comes;
-    without one the rest of the section is taken. Any closing div or p ends the innermost open one.
+    Anchors are `<a name>` and `<span class="enumxml" id>`. The container is the innermost open div or p
+    whose class has one of CONTAINERS in it when the anchor comes; without one the rest of the section
+    is taken. Any closing div or p ends the innermost open one.
     """
 
     def __init__(self, anchor: str | None):
         super().__init__(convert_charrefs=True)
-        self.anchor, self.open, self.at = anchor, [], None
+        self.anchor = anchor
+        self.open: list[bool] = []  # of the elements open in the section, whether each is a container
+        self.end: int | None = None  # the part goes on while more elements than this are open
         self.section: list[str] = []
         self.sub: list[str] = []
-        self.hit = self.live = False
-
-    @property
-    def inside(self) -> bool:
-        return any(kind == "section" for kind in self.open)
+        self.hit = False
 
     def handle_starttag(self, tag, attrs):
-        got = {k: v or "" for k, v in attrs}
-        if tag in ("div", "p"):
-            css = got.get("class", "")
-            self.open.append("section" if "section" in css.split() else "container" if "subsect" in css else "other")
-        if self.inside and not self.hit and self.anchor and self.anchor in (got.get("id"), got.get("name")):
-            self.hit = self.live = True
-            held = [i for i, kind in enumerate(self.open) if kind == "container"]
-            self.at = held[-1] if held else self.open.index("section")
+        got = {}
+        for k, v in attrs:
+            got.setdefault(k, v or "")
+        css = got.get("class", "")
+        if not self.open:
+            if tag == "div" and "section" in css.split():
+                self.open.append(any(x in css for x in CONTAINERS))
+        elif tag in ("div", "p"):
+            self.open.append(any(x in css for x in CONTAINERS))
+        elif self.anchor and not self.hit and self.anchor == (got.get("name") if tag == "a" else got.get("id") if tag == "span" and ANCHOR_SPAN in css.split() else None):
+            self.hit = True
+            self.end = next((i for i in reversed(range(len(self.open))) if self.open[i]), 0)
 
     def handle_endtag(self, tag):
         if tag in ("div", "p") and self.open:
             self.open.pop()
-            if self.live and len(self.open) <= self.at:
-                self.live = False
+            if self.end is not None and len(self.open) <= self.end:
+                self.end = None
 
     def handle_data(self, data):
-        if self.inside:
+        if self.open:
             self.section.append(data)
-            if self.live:
+            if self.end is not None:
                 self.sub.append(data)
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from citeloom.functions import text as X
 
@@ -50,23 +53,56 @@ def section_ranges(docs: DataFrame, doc: str = "doc_id", text: str = "text") ->
 
 
 def section_of(mentions: DataFrame, ranges: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """mentions with the heading of their page; of several the one that starts last."""
-    r = ranges.select(F.col(doc).alias("_d"), "section_no", "heading", "page_start", "page_end")
-    hit = mentions.join(r, (F.col(doc) == F.col("_d")) & F.col("page").between(F.col("page_start"), F.col("page_end")), "left")
-    return hit.groupBy(*[c for c in mentions.columns if c != "pincite"]).agg(F.max_by("heading", F.struct("page_start", "section_no")).alias("heading"))
+    """mentions with the heading of their page; of several the one that starts last.
+
+    A document's ranges follow one another, so the last that starts at or before a page is the only
+    one that can hold it: one window over both, ordered by page, instead of a join on ranges.
+    """
+    own = [c for c in mentions.columns if c != "heading"]
+    r = ranges.select(doc, F.col("page_start").alias("_at"), F.col("section_no").alias("_n"), F.struct("heading", "page_end").alias("_r")).filter("_at IS NOT NULL")
+    rows = mentions.select(*own).withColumn("_at", F.col("page")).withColumn("_n", F.lit(None).cast("long")).withColumn("_own", F.lit(True))
+    both = rows.unionByName(r, allowMissingColumns=True)
+    before = Window.partitionBy(doc).orderBy(F.col("_at").asc_nulls_first(), F.col("_n").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    hit = both.withColumn("_last", F.last("_r", ignorenulls=True).over(before)).filter("_own")
+    return hit.select(*own, F.when(F.col("page") <= F.col("_last.page_end"), F.col("_last.heading")).alias("heading"))
 
 
 def pages(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc, page, start, end, text of each page."""
-    rows = docs.select(doc, text, F.explode(X.page_bounds(F.col(text))).alias("b"))
-    return rows.select(doc, F.col("b.page").alias("page"), F.col("b.start").alias("start"), F.col("b.end").alias("end"), F.expr(f"substring({text}, b.start + 1, b.end - b.start)").alias("text"))
+    """doc, page, start, end, text of each page, in one pass over each text."""
+    schema = T.StructType([docs.schema[doc]]).add("page", "integer").add("start", "integer").add("end", "integer").add("text", "string")
+
+    def run(batches):
+        for batch in batches:
+            for i, t in enumerate(batch.column(text).to_pylist()):
+                found = X.page_list(t or "")
+                if found:
+                    page, start, end = zip(*found)
+                    own = batch.column(doc).take(pa.array([i] * len(found), pa.int64()))
+                    yield pa.RecordBatch.from_arrays([own, *[pa.array(c, pa.int32()) for c in (page, start, end)], pa.array([t[a:b] for a, b in zip(start, end)], pa.string())], names=[doc, "page", "start", "end", "text"])
+
+    return docs.select(doc, text).mapInArrow(run, schema)
 
 
 def straddling(mentions: DataFrame, page_rows: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """mentions with `pages`, all that their citation text touches, by an interval join within a document."""
-    p = page_rows.select(F.col(doc).alias("_d"), F.col("page").alias("_p"), F.col("start").alias("_s"), F.col("end").alias("_e"))
-    hit = mentions.join(p, (F.col(doc) == F.col("_d")) & (F.col("_s") < F.col("span_end")) & (F.col("_e") > F.col("span_start")))
-    return hit.groupBy(doc, "idx").agg(F.sort_array(F.collect_set("_p")).alias("pages"))
+    """doc, idx and `pages`, all that a mention's span touches; mentions that touch none have no row.
+
+    Pages of a document do not overlap, so those a span touches lie side by side: two binary searches
+    for each mention instead of a join on ranges.
+    """
+
+    def touched(m: pa.Table, p: pa.Table) -> pa.Table:
+        start, end, page = (p.column(c).to_numpy() for c in ("start", "end", "page"))
+        order = np.argsort(start, kind="stable")
+        start, end, page = start[order], end[order], page[order]
+        first = np.searchsorted(end, m.column("span_start").to_numpy(), "right")
+        last = np.searchsorted(start, m.column("span_end").to_numpy(), "left")
+        hit = np.flatnonzero(last > first)
+        lists = [sorted(set(page[first[i] : last[i]].tolist())) for i in hit]
+        return pa.table({doc: m.column(doc).take(pa.array(hit)), "idx": m.column("idx").take(pa.array(hit)), "pages": pa.array(lists, pa.list_(pa.int32()))})
+
+    schema = T.StructType([mentions.schema[doc], mentions.schema["idx"]]).add("pages", T.ArrayType(T.IntegerType()))
+    left = mentions.select(doc, "idx", "span_start", "span_end").groupBy(doc)
+    return left.cogroup(page_rows.select(doc, "page", "start", "end").groupBy(doc)).applyInArrow(touched, schema)
 
 
 def with_footnotes(body_rows: DataFrame, notes: DataFrame, doc: str = "doc_id") -> DataFrame:

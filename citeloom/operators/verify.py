@@ -5,6 +5,7 @@ Judgments are columns of input tables or of a registered scorer; nothing here pr
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
 import numpy as np
@@ -129,20 +130,29 @@ def match_ladder(cites: DataFrame, passages: DataFrame, scorer: Callable[[Column
 
     cites: cite_id, opinion_id, page, quote, proposition; passages: opinion_id, page, kind (page or
     parenthetical), text. Tier 1: the quotation itself within a page. Tiers 2 to 4: the best passage by the
-    scorer among parentheticals, the cited page, the whole opinion.
+    scorer among parentheticals, the cited page, the whole opinion. One join and one aggregation: every
+    passage gets the best tier it can serve, and each citation takes its best passage.
     """
     p = passages.select(F.col("opinion_id").alias("_o"), F.col("page").alias("_p"), "kind", F.col("text").alias("passage"))
     joined = cites.join(p, F.col("opinion_id") == F.col("_o"))
-    near = F.coalesce(F.abs(F.col("_p") - F.col("page")) <= 1, F.lit(True))
-    found = joined.filter(near & F.coalesce(quote_match(F.col("quote"), F.col("passage")), F.lit(False)))
-    pick = lambda df, tier, by: df.groupBy("cite_id").agg(F.max_by(F.struct(F.col("_p").alias("page"), F.col("passage").alias("text")), by).alias("x")).select("cite_id", F.lit(tier).alias("tier"), "x.page", "x.text")
-    out = pick(found, 1, F.struct(-F.coalesce(F.abs(F.col("_p") - F.col("page")), F.lit(0)), -F.col("_p")))
-    if scorer is None:
-        return out
-    for tier, which in ((2, F.col("kind") == "parenthetical"), (3, (F.col("kind") == "page") & (F.col("_p") == F.col("page"))), (4, F.col("kind") == "page")):
-        rest = joined.join(out.select("cite_id"), "cite_id", "left_anti").filter(which).withColumn("score", scorer(F.col("proposition"), F.col("passage"))).filter(F.col("score") >= threshold)
-        out = out.unionByName(pick(rest, tier, F.struct("score", -F.col("_p"))))
-    return out
+    off = F.abs(F.col("_p") - F.col("page"))
+    quoted = F.coalesce(off <= 1, F.lit(True)) & F.coalesce(quote_match(F.col("quote"), F.col("passage")), F.lit(False))
+    tier, score = F.when(quoted, 1), F.lit(0.0)
+    if scorer is not None:
+        joined = joined.withColumn("_score", scorer(F.col("proposition"), F.col("passage")))
+        good = F.col("_score") >= threshold
+        tier = tier.when(good & (F.col("kind") == "parenthetical"), 2).when(good & (F.col("kind") == "page") & (F.col("_p") == F.col("page")), 3).when(good & (F.col("kind") == "page"), 4)
+        score = F.when(quoted, 0.0).otherwise(F.col("_score"))
+    # the least: lowest tier, then for quotations the nearest page and for the others the best score, then the first page
+    rank = F.struct(F.col("_tier"), F.when(F.col("_tier") == 1, F.coalesce(off, F.lit(0)).cast("double")).otherwise(-score).alias("far"), F.col("_p"), F.col("passage"))
+    best = joined.withColumn("_tier", tier).filter("_tier IS NOT NULL").groupBy("cite_id").agg(F.min(rank).alias("x"))
+    return best.select("cite_id", F.col("x._tier").alias("tier"), F.col("x._p").alias("page"), F.col("x.passage").alias("text"))
+
+
+def unlocated(cites: DataFrame, found: DataFrame) -> DataFrame:
+    """cites with tier and page of what the ladder found, flagged where it found nothing."""
+    got = cites.select("cite_id").join(found.select("cite_id", "tier", "page"), "cite_id", "left")
+    return got.withColumn("flags", F.array_compact(F.array(F.when(F.col("tier").isNull(), "pincite_page_unresolvable"))))
 
 
 def combined_passages(cites: DataFrame, page_rows: DataFrame) -> DataFrame:
@@ -164,6 +174,11 @@ def support_label(judged: Column, source_found: Column, pincite_found: Column) -
     return F.when(~source_found | ~pincite_found, "Unable").when(judged.isin(*LABELS), judged).otherwise("Unable")
 
 
+def indirect_label(inference: Column) -> Column:
+    """Support by inference: Adequate if a judge calls the inference short, Weak otherwise, null if it was not judged."""
+    return F.when(inference == "short", "Adequate").when(inference.isNotNull(), "Weak")
+
+
 def tier_confidence(tier: Column) -> Column:
     return F.create_map(*[F.lit(x) for kv in CONFIDENCE.items() for x in kv])[tier]
 
@@ -243,7 +258,66 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, dot(a, b) / norm).otherwise(F.lit(0.0))
 
 
+def overlap(a: Column, b: Column) -> Column:
+    """Share of a's distinct words (letters and digits, any case) that b has, 0 where a has none."""
+    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[^a-z0-9]+"), lambda w: w != ""))
+    return F.when(F.size(words(a)) > 0, F.size(F.array_intersect(words(a), words(b))) / F.size(words(a))).otherwise(F.lit(0.0))
+
+
 register_scorer("cosine", cosine)
+register_scorer("overlap", overlap)
+
+
+def contained(docs: DataFrame, items: DataFrame, block: int = 20_000, batch_docs: int = 500) -> DataFrame:
+    """doc_id, n: how many items (q) the documents (doc_id, t) contain; every document is scanned once for each block of items."""
+
+    def blocks(names: dict[str, pa.DataType], size: int):
+        def run(batches):
+            for batch in batches:
+                for at in range(0, batch.num_rows, size):
+                    part = batch.slice(at, size)
+                    yield pa.RecordBatch.from_arrays([pa.array([part.column(c).to_pylist()], pa.list_(k)) for c, k in names.items()], names=list(names))
+
+        return run
+
+    def scan(batches):
+        import ahocorasick
+
+        known, automaton = None, None
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["q"] != known:
+                    known, automaton = row["q"], ahocorasick.Automaton()
+                    for q, n in Counter(known).items():
+                        automaton.add_word(q, (q, n))
+                    automaton.make_automaton()
+                counts = [(i, sum(n for _, n in {x for _, x in automaton.iter(t or "")})) for i, t in zip(row["doc_id"], row["t"])]
+                kept = [x for x in counts if x[1]]
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in kept], pa.int64()) for k in (0, 1)], names=["doc_id", "n"])
+
+    parts = items.select("q").filter("q <> ''").mapInArrow(blocks({"q": pa.string()}, block), "q array<string>")
+    left = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "t").mapInArrow(blocks({"doc_id": pa.int64(), "t": pa.string()}, batch_docs), "doc_id array<long>, t array<string>")
+    return left.crossJoin(parts).mapInArrow(scan, "doc_id long, n long")
+
+
+def containing(docs: DataFrame, items: DataFrame, most: int = 8) -> DataFrame:
+    """doc_id, n: how many items (q, flat lower-case text) each document (doc_id, t, likewise flat) contains.
+
+    An item's inner words stand whole in any document that holds it. Items of three words or more are
+    found by their first inner words, up to `most`, as one key: equal runs of documents are their
+    candidates, and the texts decide. Items of one or two words have no inner word; all documents are
+    scanned for them, in blocks of items.
+    """
+    items = items.filter("q <> ''").withColumn("_n", F.size(F.split("q", " ")))
+    m = F.least(F.col("_n") - 2, F.lit(most))
+    keyed = items.filter("_n > 2").select("q", m.alias("m"), F.xxhash64(m, F.array_join(F.slice(F.split("q", " "), F.lit(2), m), " ")).alias("k"))
+    lengths = [r["m"] for r in keyed.select("m").distinct().collect()]  # at most `most`
+    d = docs.withColumn("w", F.split("t", " "))
+    run = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: F.xxhash64(F.lit(n), F.array_join(F.slice("w", i, F.lit(n)), " ")))
+    runs = d.select("doc_id", F.explode(F.array_distinct(F.concat(*[run(n) for n in lengths]) if lengths else F.array().cast("array<bigint>"))).alias("k"))
+    pairs = runs.join(keyed.select("k", "q"), "k").select("doc_id", "q")
+    long = pairs.join(docs.select("doc_id", "t"), "doc_id").filter(F.contains("t", "q")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return long.unionByName(contained(docs, items.filter("_n <= 2"))).groupBy("doc_id").agg(F.sum("n").alias("n"))
 
 
 def nearest(queries: DataFrame, rows: DataFrame, k: int, block: int = 1000) -> DataFrame:

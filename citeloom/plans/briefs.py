@@ -12,6 +12,7 @@ from citeloom.operators import structure as S
 from citeloom.operators import toa as T
 from citeloom.plans import corpus as C
 from citeloom.registry import query
+from citeloom.sources import sinks as K
 from citeloom.sources.shared import checkpointed
 
 DENSE = "dense_linked"
@@ -88,15 +89,14 @@ SIGNAL_NAME = "CASE k % 5 WHEN 1 THEN 'see' WHEN 2 THEN 'cf' WHEN 3 THEN 'but-se
 
 @query("cite_signal", f"SELECT brief_id, ord - 1 AS idx, {SIGNAL_NAME} AS signal FROM ({C.mentions_sql()})")
 def cite_signal(spark, sf_dir):
-    b = C.briefs(spark, sf_dir).drop("court").withColumn("body", F.col("text"))
-    return E.mentions(b).select("brief_id", F.col("idx").cast("long").alias("idx"), E.signal(F.col("body"), F.col("span_start")).alias("signal"))
+    m = E.mentions(C.briefs(spark, sf_dir).drop("court"), context=("lead",))
+    return m.select("brief_id", F.col("idx").cast("long").alias("idx"), E.signal(F.col("lead")).alias("signal"))
 
 
 @query("cite_proposition", f"SELECT brief_id, ord - 1 AS idx, concat('Point ', ord, ' holds.') AS proposition FROM ({C.mentions_sql()})")
 def cite_proposition(spark, sf_dir):
-    b = C.briefs(spark, sf_dir).drop("court").withColumn("body", F.col("text"))
-    p = F.regexp_replace(E.proposition(F.col("body"), F.col("span_start"), F.col("span_end")), r"(?s)^.*## PAGE [0-9]+\s*", "")
-    return E.mentions(b).select("brief_id", F.col("idx").cast("long").alias("idx"), p.alias("proposition"))
+    p = F.regexp_replace(E.proposition(F.col("lead")), r"(?s)^.*## PAGE [0-9]+\s*", "")
+    return E.mentions(C.briefs(spark, sf_dir).drop("court"), context=("lead",)).select("brief_id", F.col("idx").cast("long").alias("idx"), p.alias("proposition"))
 
 
 # ---- families without a counterpart in the briefs: made of part numbers
@@ -210,8 +210,8 @@ HISTORY = "concat('See Roe v. Doe, ', 100 + p_partkey % 300, ' F.3d ', 1 + p_par
 
 @query("cite_history", "SELECT p_partkey AS doc_id, concat(100 + p_partkey % 300, ' F.3d ', 1 + p_partkey) AS case_key, '2d Cir.' AS court, CASE p_partkey % 4 WHEN 0 THEN 'cert. denied' WHEN 1 THEN 'aff''d' WHEN 2 THEN 'vacated' END AS subsequent_history FROM part")
 def cite_history(spark, sf_dir):
-    m = E.components(E.mentions(_made(spark, sf_dir, HISTORY).withColumn("body", F.col("text")))).filter("idx = 0")
-    return m.select("doc_id", E.case_key(F.col("volume"), F.col("reporter"), F.col("start_page")).alias("case_key"), "court", E.history(F.col("body"), F.col("span_end")).alias("subsequent_history"))
+    m = E.components(E.mentions(_made(spark, sf_dir, HISTORY), context=("tail",))).filter("idx = 0")
+    return m.select("doc_id", E.case_key(F.col("volume"), F.col("reporter"), F.col("start_page")).alias("case_key"), "court", E.history(F.col("tail")).alias("subsequent_history"))
 
 
 STRING = "concat('This is so. See Roe v. Doe, ', 1 + p_partkey % 300, ' F.3d 1 (1999)', CASE p_partkey % 2 WHEN 0 THEN '; ' ELSE '. ' END, 'Roe v. Poe, 7 F.3d 8 (2000)', CASE p_partkey % 3 WHEN 0 THEN '; see also ' ELSE '. Cf. ' END, 'Poe v. Doe, 9 U.S. 10 (2001).')"
@@ -222,8 +222,7 @@ STRING = "concat('This is so. See Roe v. Doe, ', 1 + p_partkey % 300, ' F.3d 1 (
     "SELECT p_partkey AS doc_id, i AS idx, CASE WHEN i = 0 THEN 1 WHEN i = 1 THEN 1 + p_partkey % 2 ELSE 1 + p_partkey % 2 + CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE 1 END END AS group_no, CASE WHEN (i = 0 AND p_partkey % 2 = 0) OR (i = 1 AND (p_partkey % 2 = 0 OR p_partkey % 3 = 0)) OR (i = 2 AND p_partkey % 3 = 0) THEN true ELSE false END AS shares_proposition FROM part, (VALUES (0), (1), (2)) t(i)",
 )
 def cite_string_groups(spark, sf_dir):
-    m = E.mentions(_made(spark, sf_dir, STRING).withColumn("body", F.col("text")))
-    out = R.string_groups(m, F.col("body"))
+    out = R.string_groups(E.mentions(_made(spark, sf_dir, STRING), context=("gap",)))
     return out.select("doc_id", "idx", "group_no", F.col("proposition_group").isNotNull().alias("shares_proposition"))
 
 
@@ -238,9 +237,7 @@ def cite_gap_antijoin(spark, sf_dir):
 
 
 def resolved(spark: SparkSession, sf_dir: str, variant: str = DENSE) -> DataFrame:
-    b = C.briefs(spark, sf_dir, variant).withColumn("_bounds", X.page_bounds(F.col("text")))
-    m = E.reclassified(E.components(E.mentions(b)))
-    m = m.withColumn("page", X.page_at(F.col("_bounds"), F.col("span_start"))).drop("_bounds")
+    m = E.reclassified(E.components(E.mentions(C.briefs(spark, sf_dir, variant), context=("page",))))
     return R.resolve(checkpointed(m), "brief_id")  # read three times: extract once
 
 
@@ -331,8 +328,8 @@ def section_ranges(spark, sf_dir):
 
 @query("section_of_mention", f"SELECT m.brief_id, count(*) FILTER (WHERE page < last) AS n_argument, count(*) FILTER (WHERE page = last) AS n_last FROM ({C.mentions_sql()}) m JOIN ({LAST}) l ON m.brief_id = l.brief_id GROUP BY 1")
 def section_of_mention(spark, sf_dir):
-    b = C.briefs(spark, sf_dir, framed=True).withColumn("_b", X.page_bounds(F.col("text")))
-    m = E.mentions(b).withColumn("page", X.page_at(F.col("_b"), F.col("span_start"))).filter("page IS NOT NULL").select("brief_id", "idx", "page", "full_citation")
+    b = C.briefs(spark, sf_dir, framed=True)
+    m = E.mentions(b, context=("page",)).filter("page IS NOT NULL").select("brief_id", "idx", "page", "full_citation")
     of = S.section_of(m.filter("NOT full_citation LIKE 'Decoy%'"), S.section_ranges(b, "brief_id").filter("heading <> 'CERTIFICATE OF SERVICE'"), "brief_id")
     return of.groupBy("brief_id").agg(F.count_if(F.col("heading") == "ARGUMENT").alias("n_argument"), F.count_if(F.col("heading") == "CONCLUSION").alias("n_last"))
 
@@ -343,12 +340,14 @@ def body_sections(spark, sf_dir):
     return E.mentions(kept).groupBy("brief_id").agg(F.count_if(F.col("type") == "case").alias("n_cases"))
 
 
-@query("snippet", f"SELECT brief_id, concat('Point 1 holds. ', {C.SIGNAL}, cite_text) AS head FROM ({C.mentions_sql()}) WHERE ord = 1")
+#: Words of a brief around every mention: its text without page lines, cut at the citation.
+AROUND = f"SELECT brief_id, ord, cite_text, list_filter(string_split_regex(substr(body, 1, CAST(pos0 AS BIGINT)), '\\s+'), lambda x: x <> '') AS b, list_filter(string_split_regex(substr(body, CAST(pos0 AS BIGINT) + length(cite_text) + 1), '\\s+'), lambda x: x <> '') AS a FROM (SELECT brief_id, ord, cite_text, coalesce(sum(length(seg)) OVER (PARTITION BY brief_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(seg) - length(cite_text) - 2 AS pos0, string_agg(seg, '' ORDER BY ord) OVER (PARTITION BY brief_id) AS body FROM (SELECT *, concat('Point ', ord, ' holds. ', {C.SIGNAL}, cite_text, '. ') AS seg FROM ({C.mentions_sql()})))"
+
+
+@query("snippet", f"SELECT brief_id, ord - 1 AS idx, concat_ws(' ', nullif(array_to_string(list_slice(b, -30, -1), ' '), ''), cite_text, nullif(array_to_string(list_slice(a, 1, 30), ' '), '')) AS snippet FROM ({AROUND})")
 def snippet(spark, sf_dir):
-    b = C.briefs(spark, sf_dir).withColumn("body", F.regexp_replace("text", r"## PAGE [0-9]+\s", "")).withColumn("text", F.col("body"))
-    m = E.mentions(b).filter("idx = 0")
-    whole = X.snippet(F.col("body"), F.col("span_start"), F.col("span_end"), 30)
-    return m.select("brief_id", F.substring(whole, 1, F.col("span_end")).alias("head"))
+    b = C.briefs(spark, sf_dir).drop("court").withColumn("text", F.regexp_replace("text", r"\n?## PAGE [0-9]+\s", ""))
+    return E.mentions(b, context=("snippet",)).select("brief_id", F.col("idx").cast("long").alias("idx"), "snippet")
 
 
 # ---- tables of authorities
@@ -407,7 +406,26 @@ def toa_short_forms(spark, sf_dir):
     return t.select("brief_id", F.regexp_extract("citation", r"^Supplier([0-9]+)", 1).alias("key"), F.array_join("short_forms_found", "|").alias("short_forms"))
 
 
-@query("toa_checklist_violations", "SELECT CAST(0 AS BIGINT) AS brief_id, '' AS citation, '' AS broken WHERE false")
+#: Rows of the tables as a careless hand left them: what it did to the table of brief n, by n % 8.
+CARELESS = "CASE brief_id % 8 WHEN 1 THEN 'duplicate_pages,unsorted_pages' WHEN 2 THEN 'no_pages' WHEN 3 THEN 'unknown_category' WHEN 4 THEN 'passim_not_allowed' END"
+
+
+@query("toa_checklist_violations", f"SELECT brief_id, citation, broken FROM (SELECT *, CASE WHEN brief_id % 8 = 1 THEN CASE WHEN n_pages > 1 THEN 'duplicate_pages,unsorted_pages' ELSE 'duplicate_pages' END WHEN brief_id % 8 = 5 THEN CASE WHEN lag(cat_rank) OVER (PARTITION BY brief_id ORDER BY position DESC) > cat_rank THEN 'category_order' END ELSE {CARELESS} END AS broken FROM ({SORTED})) WHERE broken IS NOT NULL")
 def toa_checklist_violations(spark, sf_dir):
-    return T.violations(toa(spark, sf_dir), "brief_id").select("brief_id", "citation", F.array_join("broken", ",").alias("broken"))
+    n = F.col("brief_id") % 8
+    t = toa(spark, sf_dir)
+    t = t.withColumn("pages", F.when(n == 1, F.concat("pages", F.slice("pages", 1, 1))).when(n == 2, F.array().cast("array<int>")).otherwise(F.col("pages"))).withColumn("cat_rank", F.when(n == 3, 0).otherwise(F.col("cat_rank")))
+    t = t.withColumn("page_text", F.when(n == 4, "passim").otherwise(F.col("page_text"))).withColumn("position", F.when(n == 5, -F.col("position")).otherwise(F.col("position")))
+    return T.violations(t, "brief_id").select("brief_id", "citation", F.array_join("broken", ",").alias("broken"))
+
+
+@query("toa_clean_checklist", f"SELECT brief_id, count(*) AS n_authorities, 0 AS n_broken FROM ({SORTED}) GROUP BY 1")
+def toa_clean_checklist(spark, sf_dir):
+    t = toa(spark, sf_dir)
+    broken = T.violations(t, "brief_id").groupBy("brief_id").agg(F.count(F.lit(1)).cast("int").alias("n_broken"))
+    return t.groupBy("brief_id").agg(F.count(F.lit(1)).alias("n_authorities")).join(broken, "brief_id", "left").select("brief_id", "n_authorities", F.coalesce("n_broken", F.lit(0)).alias("n_broken"))
+
 
+@query("toa_json", f"""SELECT brief_id, concat('[', string_agg(concat('{{"citation":"', citation, '","category":"', category, '","pages":[', replace(pages, ' ', ''), '],"n_mentions":', n_mentions, '}}'), ',' ORDER BY position), ']') AS json FROM ({SORTED}) GROUP BY brief_id""")
+def toa_json(spark, sf_dir):
+    return K.json_arrays(toa(spark, sf_dir), "brief_id", "position", ["citation", "category", "pages", "n_mentions"])

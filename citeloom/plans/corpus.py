@@ -93,16 +93,21 @@ def briefs_sql(variant: str = "base") -> str:
 # ---- opinions
 
 
+#: What opinion src cites by a line of supplier s and part k: an older opinion, of about an eighth of its number, at times a
+#: newer one, which may not exist; and pairs of opinions that cite nothing but each other.
+DST = "CASE src % 97 WHEN 0 THEN src + 1 WHEN 1 THEN src - 1 ELSE CASE WHEN k % 41 = 0 THEN 8 * src + s % 8 ELSE (7 * s + k) % (1 + CAST(FLOOR(src / 8.0) AS BIGINT)) END END"
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """src, ord, dst, no_link: up to six citations of each opinion."""
-    n = table(spark, sf_dir, "supplier").agg(F.count(F.lit(1)).alias("n"))
-    by_src = Window.partitionBy("l_suppkey").orderBy("l_orderkey", *ORDER_KEY)
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", *ORDER_KEY).withColumn("ord", F.row_number().over(by_src)).filter("ord <= 6")
-    return lines.join(F.broadcast(n), how="cross").select(F.col("l_suppkey").alias("src"), "ord", F.expr("(7 * l_suppkey + l_partkey) % n").alias("dst"), F.expr("l_partkey % 12 >= 9").alias("no_link"))
+    """src, ord, dst, no_link: every order is an opinion and each of its lines a citation."""
+    by_src = Window.partitionBy("l_orderkey").orderBy(*ORDER_KEY)
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", *ORDER_KEY).withColumn("ord", F.row_number().over(by_src))
+    named = lines.select(F.col("l_orderkey").alias("src"), "ord", F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("k"))
+    return named.select("src", "ord", F.expr(DST).alias("dst"), F.expr("k % 12 >= 9").alias("no_link"))
 
 
 def edges_sql() -> str:
-    return f"SELECT l_suppkey AS src, ord, (7 * l_suppkey + l_partkey) % (SELECT count(*) FROM supplier) AS dst, l_partkey % 12 >= 9 AS no_link FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, {_K}) AS ord FROM lineitem) WHERE ord <= 6"
+    return f"SELECT src, ord, {DST} AS dst, k % 12 >= 9 AS no_link FROM (SELECT l_orderkey AS src, l_suppkey AS s, l_partkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY {_K}) AS ord FROM lineitem)"
 
 
 _SEGMENT = """CASE WHEN no_link

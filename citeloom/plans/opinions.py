@@ -102,12 +102,15 @@ def find_sentence(spark, sf_dir):
 FROM_THIRD = f"SELECT src, min(ord) FILTER (WHERE NOT no_link AND dst <> src) AS a, min(ord) FILTER (WHERE no_link) AS l, min(ord) FILTER (WHERE NOT no_link AND dst = src) AS c, count(*) FILTER (WHERE NOT no_link AND dst <> src) AS n FROM ({EDGES}) WHERE ord >= 3 GROUP BY src"
 
 
-@query("anchor_window", f"SELECT src AS opinion_id, count(*) AS n FROM ({EDGES}) WHERE ord >= 3 GROUP BY 1")
+#: Edges with the offset of their anchor in the opinion.
+PLACED = f"SELECT *, coalesce(sum(length(seg)) OVER (PARTITION BY src ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + strpos(seg, '<span') - 1 AS place FROM (SELECT *, {C._SEGMENT} AS seg FROM ({EDGES}))"
+
+
+@query("anchor_window", f"SELECT e.src AS opinion_id, count(*) AS n FROM ({PLACED}) e JOIN ({PLACED}) t ON t.src = e.src AND t.ord = 3 AND e.place BETWEEN t.place AND t.place + 1510 GROUP BY 1")
 def anchor_window(spark, sf_dir):
     o = C.opinions(spark, sf_dir).withColumn("a", H.anchors(F.col("html_with_citations")))
     at = F.get("a", F.lit(2))["offset"]
-    w = o.filter(F.size("a") >= 3).select("opinion_id", F.size(H.window(F.col("a"), at, at + 10)).cast("long").alias("n"))
-    return w
+    return o.filter(F.size("a") >= 3).select("opinion_id", F.size(H.window(F.col("a"), at, at + 10)).cast("long").alias("n"))
 
 
 @query("anchor_next_hop", f"SELECT t.src AS opinion_id, e.dst AS next, CASE WHEN a IS NOT NULL THEN n - 1 ELSE 0 END AS n_siblings, CASE WHEN a IS NOT NULL THEN NULL WHEN l IS NOT NULL THEN 'cites_statute' WHEN c IS NOT NULL THEN 'cycle_detected' ELSE 'no_outbound_for_proposition' END AS terminal FROM ({FROM_THIRD}) t LEFT JOIN ({EDGES}) e ON e.src = t.src AND e.ord = t.a")
@@ -120,28 +123,30 @@ def anchor_next_hop(spark, sf_dir):
 
 # ---- walks
 
-SEEDS = 20  # of the SQL only
 ADJ = f"SELECT src, list(dst ORDER BY ord) AS nbrs FROM (SELECT src, dst, min(ord) AS ord FROM ({EDGES}) WHERE NOT no_link GROUP BY 1, 2) GROUP BY src"
 STEPS = f"""WITH RECURSIVE adj AS ({ADJ}), w AS (
-  SELECT src AS root, [src] AS path FROM ({EDGES}) WHERE src < {SEEDS} GROUP BY src
+  SELECT DISTINCT src AS root, [src] AS path FROM ({EDGES})
   UNION ALL
-  SELECT root, list_append(path, t) FROM (SELECT w.root, w.path, list_extract(list_filter(nbrs, lambda x: NOT list_contains(w.path, x)), 1) AS t FROM w JOIN adj ON adj.src = list_extract(w.path, -1) WHERE len(w.path) <= {H.MOST_HOPS}) WHERE t IS NOT NULL)"""
+  SELECT root, list_append(path, t) FROM (SELECT w.root, w.path, list_extract(list_filter(nbrs, lambda x: NOT list_contains(w.path, x)), 1) AS t FROM w JOIN adj ON adj.src = list_extract(w.path, -1)) WHERE t IS NOT NULL)"""
 WALKS = f"{STEPS} SELECT root, arg_max(path, len(path)) AS path FROM w GROUP BY root"
+HOPS = f"SELECT root, path, unnest(range(1, len(path) + 1)) AS i FROM ({WALKS}) q"
 
 
-def _walks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _walks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Walks from every opinion, the edges, and the opinions there are."""
     edges = C.edges(spark, sf_dir)
-    return H.walk(edges, C.opinions(spark, sf_dir).select("opinion_id")), edges
+    known = edges.select(F.col("src").alias("opinion_id")).distinct()
+    return H.walk(edges, known), edges, known
 
 
-@query("chain_walk", f"SELECT root, i - 1 AS hop_index, list_extract(path, i) AS opinion_id, CASE WHEN i > 1 THEN list_extract(path, i - 1) END AS parent FROM ({WALKS}) q, generate_series(1, 50) g(i) WHERE i <= len(path)")
+@query("chain_walk", f"SELECT root, i - 1 AS hop_index, list_extract(path, i) AS opinion_id, CASE WHEN i > 1 THEN list_extract(path, i - 1) END AS parent FROM ({HOPS}) h")
 def chain_walk(spark, sf_dir):
     h = H.hops(_walks(spark, sf_dir)[0])
     return h.select("root", F.col("hop_index").cast("long").alias("hop_index"), "opinion_id", "parent")
 
 
-ENDS = f"""SELECT root, len(path) - 1 AS hops, last, CASE WHEN coalesce(len(free), 0) > 0 THEN 'hop_limit' WHEN coalesce(laws, 0) > 0 THEN 'cites_statute' WHEN coalesce(len(linked), 0) > 0 THEN 'cycle_detected' ELSE 'no_outbound_for_proposition' END AS terminal_reason, path, linked FROM (
-  SELECT *, list_filter(linked, lambda x: NOT list_contains(path, x)) AS free FROM (SELECT root, path, list_extract(path, -1) AS last FROM ({WALKS}) q) LEFT JOIN (SELECT src, list(DISTINCT dst) FILTER (WHERE NOT no_link) AS linked, count(*) FILTER (WHERE no_link) AS laws FROM ({EDGES}) GROUP BY src) ON src = last)"""
+ENDS = f"""SELECT root, len(path) - 1 AS hops, last, CASE WHEN src IS NULL THEN 'courtlistener_missing' WHEN coalesce(laws, 0) > 0 THEN 'cites_statute' WHEN coalesce(len(linked), 0) > 0 THEN 'cycle_detected' ELSE 'no_outbound_for_proposition' END AS terminal_reason, path, linked
+  FROM (SELECT root, path, list_extract(path, -1) AS last FROM ({WALKS}) q) LEFT JOIN (SELECT src, list(DISTINCT dst) FILTER (WHERE NOT no_link) AS linked, count(*) FILTER (WHERE no_link) AS laws FROM ({EDGES}) GROUP BY src) ON src = last"""
 
 
 @query("chain_terminals", f"SELECT root, hops, last, terminal_reason FROM ({ENDS}) z")
@@ -149,40 +154,65 @@ def chain_terminals(spark, sf_dir):
     return H.terminals(*_walks(spark, sf_dir)).select("root", F.col("hops").cast("long").alias("hops"), "last", "terminal_reason")
 
 
-@query("chain_cycles", f"SELECT root, list_aggregate(linked, 'min') AS closes_at FROM ({ENDS}) z WHERE terminal_reason = 'cycle_detected'")
+@query("chain_cycles", f"SELECT root, list_aggregate(linked, 'min') AS closes_at, hops + 2 AS n FROM ({ENDS}) z WHERE terminal_reason = 'cycle_detected'")
 def chain_cycles(spark, sf_dir):
     t = H.terminals(*_walks(spark, sf_dir)).filter("terminal_reason = 'cycle_detected'")
-    return t.select("root", F.element_at("cycle_path", -1).alias("closes_at"))
+    return t.select("root", F.element_at("cycle_path", -1).alias("closes_at"), F.size("cycle_path").cast("long").alias("n"))
 
 
-@query("chain_suggestions", "SELECT reason, advice FROM (VALUES " + ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in H.SUGGESTIONS.items()) + ") t(reason, advice)")
+@query(
+    "chain_suggestions",
+    """SELECT root, CASE terminal_reason WHEN 'cites_statute' THEN 'Read the statute or regulation itself; the proposition rests on enacted text.' WHEN 'cycle_detected' THEN 'The opinions cite each other; pick the earliest by date.'
+  WHEN 'courtlistener_missing' THEN 'Supply the opinion''s text from another source.' WHEN 'no_outbound_for_proposition' THEN 'The opinion states the proposition on its own; treat it as the origin.' END AS advice FROM ("""
+    + ENDS
+    + ") z",
+)
 def chain_suggestions(spark, sf_dir):
-    reasons = spark.sql("SELECT explode(array(" + ", ".join(f"'{k}'" for k in H.SUGGESTIONS) + ")) AS reason")
-    return reasons.select("reason", H.suggestion(F.col("reason")).alias("advice"))
+    return H.terminals(*_walks(spark, sf_dir)).select("root", H.suggestion(F.col("terminal_reason")).alias("advice"))
 
 
-@query("chain_checkpoints", f"SELECT root, i - 1 AS hop_index, (i - 1) // 8 AS checkpoint_no FROM ({WALKS}) q, generate_series(1, 50) g(i) WHERE i <= len(path)")
+@query("chain_checkpoints", f"SELECT root, i - 1 AS hop_index, (i - 1) // 8 AS checkpoint_no FROM ({HOPS}) h")
 def chain_checkpoints(spark, sf_dir):
     c = H.checkpoints(H.hops(_walks(spark, sf_dir)[0]))
     return c.select("root", F.col("hop_index").cast("long").alias("hop_index"), F.col("checkpoint_no").cast("long").alias("checkpoint_no"))
 
 
-@query("chain_methodology", f"SELECT count(DISTINCT list_extract(path, i)) AS opinions_fetched, count(*) FILTER (WHERE i > 1) AS hops, count(DISTINCT root) AS walks FROM ({WALKS}) q, generate_series(1, 50) g(i) WHERE i <= len(path)")
+@query("chain_methodology", f"SELECT count(DISTINCT list_extract(path, i)) AS opinions_fetched, count(*) FILTER (WHERE i > 1) AS hops, count(DISTINCT root) AS walks, count(*) FILTER (WHERE i % 8 = 0) AS checkpoints, count(*) FILTER (WHERE i > 1 AND len(nbrs) > 1) AS fan_outs FROM ({HOPS}) h LEFT JOIN ({ADJ}) a ON a.src = list_extract(path, i - 1) AND i > 1")
 def chain_methodology(spark, sf_dir):
-    return H.methodology(H.hops(_walks(spark, sf_dir)[0])).select("opinions_fetched", "hops", "walks")
+    walks, edges, _ = _walks(spark, sf_dir)
+    return H.methodology(H.hops(walks), edges)
+
+
+@query("chain_partial_rows", f"SELECT root, len(path) AS hop_index, list_extract(path, -1) AS parent, terminal_reason FROM ({ENDS}) z UNION ALL SELECT root, i - 1, CASE WHEN i > 1 THEN list_extract(path, i - 1) END, NULL FROM ({HOPS}) h")
+def chain_partial_rows(spark, sf_dir):
+    walks, edges, known = _walks(spark, sf_dir)
+    rows = H.with_terminal_rows(H.hops(walks), H.terminals(walks, edges, known))
+    return rows.select("root", F.col("hop_index").cast("long").alias("hop_index"), "parent", "terminal_reason")
 
 
-REACH = f"""WITH RECURSIVE r AS (SELECT DISTINCT src AS root, src AS opinion_id, 0 AS level FROM ({EDGES}) WHERE src < 5 UNION SELECT r.root, e.dst, r.level + 1 FROM r JOIN ({EDGES}) e ON e.src = r.opinion_id AND NOT e.no_link WHERE r.level < 3)"""
+@query("chain_summary_notes", f"SELECT root, i - 1 AS hop_index, CASE WHEN root % 10 = 0 THEN concat('note ', root) END AS note FROM ({HOPS}) h")
+def chain_summary_notes(spark, sf_dir):
+    walks, _, known = _walks(spark, sf_dir)
+    notes = known.filter("opinion_id % 10 = 0").select(F.col("opinion_id").alias("root"), F.expr("concat('note ', opinion_id)").alias("note"))
+    return H.summary_critic(H.hops(walks), notes).select("root", F.col("hop_index").cast("long").alias("hop_index"), "note")
+
+
+#: Levels stop in the SQL where all are reached: it lists an opinion at each level at which it is met.
+REACH = f"""WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM ({EDGES}) WHERE NOT no_link), r AS (SELECT DISTINCT src AS root, src AS opinion_id, 0 AS level FROM ({EDGES}) UNION SELECT r.root, e.dst, r.level + 1 FROM r JOIN e ON e.src = r.opinion_id WHERE r.level < 24)"""
 
 
 @query("chain_forest", f"{REACH} SELECT root, opinion_id, min(level) AS level FROM r GROUP BY 1, 2")
 def chain_forest(spark, sf_dir):
-    seeds = C.opinions(spark, sf_dir).select("opinion_id")
-    return H.forest(C.edges(spark, sf_dir), seeds).select("root", "opinion_id", F.col("level").cast("int").alias("level"))
+    edges = C.edges(spark, sf_dir)
+    return H.forest(edges, edges.select(F.col("src").alias("opinion_id")).distinct()).select("root", "opinion_id", F.col("level").cast("int").alias("level"))
 
 
-@query("chain_report", f"SELECT root, concat('Chain of ', hops, ' hops, ends: ', terminal_reason) AS summary FROM ({ENDS}) z")
+@query("chain_report", f"SELECT z.root, concat('Chain of ', any_value(hops), ' hops, ends: ', any_value(terminal_reason), chr(10), chr(10), string_agg(concat('1. Opinion ', list_extract(h.path, i), CASE WHEN i > 1 THEN concat(' (from ', list_extract(h.path, i - 1), ')') ELSE '' END), chr(10) ORDER BY i)) AS text FROM ({ENDS}) z JOIN ({HOPS}) h ON z.root = h.root GROUP BY z.root")
 def chain_report(spark, sf_dir):
-    walks, edges = _walks(spark, sf_dir)
-    text = K.chain_markdown(H.hops(walks), H.terminals(walks, edges))
-    return text.select("root", F.split("text", "\n")[0].alias("summary"))
+    walks, edges, known = _walks(spark, sf_dir)
+    return K.chain_markdown(H.hops(walks), H.terminals(walks, edges, known)).select("root", "text")
+
+
+@query("chain_json", f"""SELECT root, concat('[', string_agg(concat('{{"hop_index":', i - 1, ',"opinion_id":', list_extract(path, i), ',"parent":', CASE WHEN i > 1 THEN CAST(list_extract(path, i - 1) AS VARCHAR) ELSE 'null' END, '}}'), ',' ORDER BY i), ']') AS json FROM ({HOPS}) h GROUP BY root""")
+def chain_json(spark, sf_dir):
+    return K.chain_json(H.hops(_walks(spark, sf_dir)[0]))

@@ -24,7 +24,7 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from citeloom.plans import briefs, opinions, sources  # noqa: F401
+    from citeloom.plans import briefs, judged, opinions, sources  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

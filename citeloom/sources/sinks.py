@@ -61,18 +61,52 @@ def check_markdown(checks: DataFrame) -> DataFrame:
     return checks.groupBy("doc_id").agg(rows.alias("x")).select("doc_id", F.concat_ws("\n\n", header, first, F.array_join(F.transform(x, lambda r: r["block"]), "\n\n"), appendix).alias("text"))
 
 
-def check_json(checks: DataFrame, generated_at: str) -> DataFrame:
-    """doc_id, json: schema_version, generated_at, document, citations."""
-    rows = F.sort_array(F.collect_list(F.struct("doc_index", "citation", "label", "found", "explanation")))
-    return checks.groupBy("doc_id").agg(rows.alias("citations")).select("doc_id", F.to_json(F.struct(F.lit("1.0").alias("schema_version"), F.lit(generated_at).alias("generated_at"), F.struct(F.col("doc_id").alias("id")).alias("document"), "citations")).alias("json"))
+# The blocks of a citation in the report's JSON, with the columns that fill them.
+CITATION = {
+    "citation": {"full_text": "citation", "short_label": "short_label", "case_key": "case_key", "type": "type", "authority_level": "authority_level", "signal": "signal", "flags": "flags"},
+    "location": {"page": "page", "section": "section", "footnote_id": "footnote_id", "snippet": "snippet"},
+    "proposition": {"text": "proposition", "ambiguous": "ambiguous", "proposition_group": "proposition_group"},
+    "source": {"found": "found", "fetch_path": "fetch_path", "external_url": "external_url", "unverifiable_reason": "unverifiable_reason"},
+    "pincite": {"text": "passage", "match_tier_used": "tier", "brief_quote": "brief_quote", "actual_text": "actual_text", "quote_match": "quote_match", "match_phrase": "match_phrase"},
+    "support": {"label": "label", "note": "note", "explanation": "explanation", "issues": "issues"},
+    "critic": {"status": "critic_status", "reasoning": "critic_reasoning"},
+    "subsequent_negative_history": {"treatment": "treatment", "by_case": "by_case", "affects_proposition": "affects"},
+}
+KINDS = {"page": "int", "flags": "array<string>", "issues": "array<string>", "ambiguous": "boolean", "found": "boolean", "quote_match": "boolean", "affects": "boolean", "tier": "int"}
+DOCUMENT = ("filename", "title", "case_no", "format", "pages", "sections", "footnotes", "notes")
+
+
+def check_json(checks: DataFrame, generated_at: str, documents: DataFrame | None = None) -> DataFrame:
+    """doc_id, json: schema_version, generated_at, document and citations in their order.
+
+    checks: doc_id, doc_index, citation, label, found and any of the columns that CITATION names; a block
+    none of whose columns is there or set is left out. documents: doc_id and any of DOCUMENT.
+    """
+    has = set(checks.columns)
+
+    def block(fields: dict[str, str]) -> Column:
+        own = [n for n, c in fields.items() if c in has]
+        whole = F.struct(*[F.col(fields[n]).cast(KINDS.get(fields[n], "string")).alias(n) for n in own]) if own else F.lit(None).cast("struct<x:string>")
+        return F.when(F.coalesce(*[F.col(fields[n]).cast("string") for n in own]).isNotNull(), whole) if own else whole
+
+    named = {c: F.col(c).cast("string") for c in ("precis", "action") if c in has}
+    entry = F.struct(F.concat(F.lit("c"), F.col("doc_index").cast("string")).alias("id"), "doc_index", *[block(f).alias(n) for n, f in CITATION.items()], *[c.alias(n) for n, c in named.items()])
+    told = checks.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(F.col("doc_index").alias("_o"), entry.alias("e")))).alias("x"))
+    citations = F.transform("x", lambda r: r["e"])
+    document = [F.col("doc_id").alias("id")]
+    if documents is not None:
+        own = [c for c in DOCUMENT if c in documents.columns]
+        told = told.join(documents.select("doc_id", *own), "doc_id", "left")
+        document += [F.col(c) for c in own]
+    return told.select("doc_id", F.to_json(F.struct(F.lit("1.0").alias("schema_version"), F.lit(generated_at).alias("generated_at"), F.struct(*document).alias("document"), citations.alias("citations"))).alias("json"))
 
 
 def differences(checks: DataFrame, json: DataFrame) -> DataFrame:
-    """Entries in which a report's JSON and its table differ, either way; empty if both say the same."""
-    kind = "struct<citations:array<struct<doc_index:int,citation:string,label:string>>>"
-    told = json.select("doc_id", F.explode(F.from_json("json", kind)["citations"]).alias("c")).select("doc_id", "c.doc_index", "c.citation", "c.label")
+    """Entries that only the table or only the report's JSON has, as `side` tells; empty if both say the same."""
+    kind = "struct<citations:array<struct<doc_index:int,citation:struct<full_text:string>,support:struct<label:string>>>>"
+    told = json.select("doc_id", F.explode(F.from_json("json", kind)["citations"]).alias("c")).select("doc_id", "c.doc_index", F.col("c.citation.full_text").alias("citation"), F.col("c.support.label").alias("label"))
     own = checks.select("doc_id", F.col("doc_index").cast("int").alias("doc_index"), "citation", "label")
-    return own.exceptAll(told).unionAll(told.exceptAll(own))
+    return own.exceptAll(told).withColumn("side", F.lit("table")).unionAll(told.exceptAll(own).withColumn("side", F.lit("report")))
 
 
 def chain_name(citation: Column, day: Column) -> Column:

@@ -12,8 +12,11 @@ from citeloom import registry
 SF = "/root/testdata/sf0.001"
 #: One of each kind; the driver compares all of them at a larger size.
 NAMES = [
-    "toa_basic", "resolve_groups", "cite_extract_case", "cite_string_groups", "cite_extract_const", "page_split", "html_anchors", "html_links", "text_clean", "sentence_chunks", "page_span", "find_sentence", "anchor_next_hop", "chain_walk", "chain_terminals", "chain_forest", "lookup_components", "identity_check",
-    "escalation_first_ok", "lii_status", "lii_section_text", "quote_match", "benchmark_quotes", "label_counts", "triage", "critic_flags", "negative_history", "match_ladder", "semantic_scorer_topk", "section_ranges",
+    "toa_basic", "toa_checklist_violations", "toa_json", "resolve_groups", "cite_extract_case", "cite_signal", "cite_string_groups", "cite_extract_const", "page_split", "page_straddle", "snippet", "html_anchors", "html_links", "text_clean", "sentence_chunks", "page_span", "find_sentence", "anchor_window",
+    "anchor_next_hop", "chain_walk", "chain_terminals", "chain_cycles", "chain_methodology", "chain_report", "chain_forest", "lookup_components", "identity_check", "escalation_first_ok", "lii_status", "lii_section_text", "quote_match", "benchmark_quotes", "label_counts", "triage", "report_markdown", "report_consistency",
+    "report_determinism", "critic_flags", "negative_history", "match_ladder", "semantic_scorer_topk", "section_ranges", "section_of_mention", "bare_section", "parenthetical_entries", "mention_flags", "cite_other_types", "cite_journal_components", "cite_rare_families", "cite_repaired_subsection", "cite_labels", "footnote_bodies",
+    "resolve_second_pass", "resolve_parallel_reporters", "toa_seven_categories", "sources_by_type", "constitution_text", "text_plausible", "pincite_passages", "passage_window", "verified_suggestions", "other_source_text", "precis_length", "indirect_labels", "task_routes", "fan_out", "hop_relationship", "chain_intake",
+    "nearest_location", "json_arrays", "report_json", "report_names",
 ]
 
 
