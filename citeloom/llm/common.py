@@ -117,12 +117,14 @@ def pieces_of(texts: list[bytes | None], size: int = 1_000_000):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured."""
+    """The folder that driver and executors share; a temporary one only for a local master where none is configured."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="citeloom-"))
         current = spark.sparkContext.getCheckpointDir()
     return current.rstrip("/")
@@ -132,29 +134,46 @@ def _root(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/citeloom-{spark.sparkContext.applicationId}"
 
 
-def materialize(df: DataFrame, name: str = "t") -> DataFrame:
+def materialize(df: DataFrame, name: str = "t", done: tuple[DataFrame, ...] = ()) -> DataFrame:
     """Cut the lineage: write df as Parquet in the shared folder and read it again.
 
-    The files survive the loss of executors; release() removes them.
+    The files survive the loss of executors. `done` are earlier tables that nothing reads any more: they
+    are deleted, and with them, once the JVM has forgotten their plans, the shuffle files behind them.
+    release() removes the rest.
     """
     spark = df.sparkSession
     path = f"{_root(spark)}/{name}-{next(_serial)}-{uuid.uuid4().hex[:8]}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    for x in done:
+        if getattr(x, "_written", None):
+            _delete(spark, x._written)
+    return out
+
+
+def forget_shuffles(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of finished jobs now: it does so when the JVM collects their plans."""
+    spark.sparkContext._jvm.System.gc()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(conf).delete(where, True)
 
 
 def release(spark: SparkSession) -> None:
     """Delete everything that materialize() wrote for this application."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(_root(spark))
-    path.getFileSystem(conf).delete(path, True)
+    _delete(spark, _root(spark))
 
 
-def ranked(df: DataFrame, keys: list[str], order: list[str], out: str, n_rows: int, per_bucket: int = 50_000) -> DataFrame:
+def ranked(df: DataFrame, keys: list[str], order: list[str], out: str, n_rows: int, per_bucket: int = 50_000, ties: str | None = None) -> DataFrame:
     """Gapless rank from 0 within keys, without gathering a key in one task.
 
     Rows are dealt to hash buckets within each key; a bucket's rank starts where the buckets before
-    it end. Ties beyond `order` are broken arbitrarily.
+    it end. Rows equal in `order` fall into one bucket and are ranked arbitrarily among themselves; `ties`
+    names a column for their number, from 0.
     """
     buckets = max(1, -(-n_rows // per_bucket))
     b = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
@@ -163,6 +182,8 @@ def ranked(df: DataFrame, keys: list[str], order: list[str], out: str, n_rows: i
     starts = counts.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate([*keys, "_bucket"])], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     own = Window.partitionBy(*keys, "_bucket").orderBy(*order)
     local = b.withColumn("_local", F.row_number().over(own) - 1)
+    if ties:
+        local = local.withColumn(ties, (F.col("_local") + 1 - F.rank().over(own)).cast("int"))
     on = [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate([*keys, "_bucket"])]
     joined = local.join(starts, on, "inner")
-    return joined.select(*df.columns, (F.col("_start") + F.col("_local")).cast("long").alias(out))
+    return joined.select(*df.columns, *([ties] if ties else []), (F.col("_start") + F.col("_local")).cast("long").alias(out))

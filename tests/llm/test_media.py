@@ -39,7 +39,7 @@ def test_files_round_trip(kind, frames):
 
 def test_block_groups_and_unknown_sizes():
     block = b"\x81\x00\x05\x00" + b"abc"
-    cluster = M.number(M.TIMESTAMP, 100) + M.element(M.BLOCK_GROUP, M.element(M.BLOCK, block) + M.number(M.BLOCK_DURATION, 7))
+    cluster = M.number(M.TIMESTAMP, 100) + M.element(M.BLOCK_GROUP, M.element(M.BLOCK, block) + M.number(0x9B, 7))
     data = M._HEAD + M.SEGMENT.to_bytes(4, "big") + b"\xff" + M._INFO + M._TRACKS + M.element(M.CLUSTER, cluster)
     got = M.parse(data)
     assert got["error"] is None
@@ -47,6 +47,51 @@ def test_block_groups_and_unknown_sizes():
     assert (track, ms, data[s:e]) == (1, 105, b"abc")
 
 
+def blocks(*payloads, key=0x80):
+    return b"".join(M.element(M.SIMPLE_BLOCK, b"\x81\x00\x00" + bytes([key]) + p) for p in payloads)
+
+
+def test_clusters_of_unknown_size_end_where_the_next_begins():
+    opened = M.CLUSTER.to_bytes(4, "big") + b"\x01" + b"\xff" * 7
+    clusters = b"".join(opened + M.number(M.TIMESTAMP, 100 * i) + blocks(b"p%d" % i) for i in range(3))
+    data = M._HEAD + M.SEGMENT.to_bytes(4, "big") + b"\xff" + M._INFO + M._TRACKS + clusters + M.element(M.CUES, b"")
+    got = M.parse(data)
+    assert got["error"] is None and len(got["clusters"]) == 3
+    assert [(p[1], data[p[2] : p[3]], p[6]) for p in got["packets"]] == [(0, b"p0", 0), (100, b"p1", 1), (200, b"p2", 2)]
+
+
+@pytest.mark.parametrize("kind", M.LACINGS)
+def test_a_file_cut_off_keeps_its_whole_packets(kind):
+    payload = random.Random(3).randbytes(20 * M.FRAME)
+    media = M.mux(payload, kind)
+    whole = [(p[2], p[3]) for p in M.parse(media)["packets"]]
+    for end in (*range(60, len(media), 997), len(media) - 1, whole[0][1] - 100, whole[9][1] - 1, whole[9][1]):
+        got = M.parse(media[:end])
+        assert got["error"] is not None
+        found = [(p[2], p[3]) for p in got["packets"]]
+        assert found == whole[: len(found)] and all(e <= end and e - s == M.FRAME for s, e in found)
+
+
+def test_keyframes_of_block_groups():
+    block = M.element(M.BLOCK, b"\x81\x00\x00\x00abc")
+    groups = M.element(M.BLOCK_GROUP, block) + M.element(M.BLOCK_GROUP, block + M.number(M.REFERENCE_BLOCK, 1))
+    data = M._HEAD + M.element(M.SEGMENT, M._TRACKS + M.element(M.CLUSTER, M.number(M.TIMESTAMP, 0) + groups + blocks(b"x", key=0)))
+    assert [p[4] for p in M.parse(data)["packets"]] == [True, False, False]
+
+
+def test_tracks_have_a_uid():
+    assert M.number(M.TRACK_UID, 1) in M._TRACKS
+
+
+def test_odd_rows(spark):
+    long = "é" * 400_000
+    rows = [(1, long, "en"), (1, long, "en"), (None, None, None), (2, "", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, media string")
+    got = M.query(df).orderBy("n_bytes").collect()
+    assert [r.n_bytes for r in got] == [0, 0, 800_000, 800_000] and got[2][1:] == got[3][1:]
+    assert got[3].payload_bytes == -(-800_000 // 576) * 576 and got[3].payload_sha256 == hashlib.sha256(M.padded(long.encode())).hexdigest()
+
+
 def test_query(spark, docs, empty):
     rows = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
     for r in M.query(docs).collect():
