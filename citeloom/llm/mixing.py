@@ -9,9 +9,11 @@ tree until every source has at most one, which is rounded at random.
 
 Randomness is a hash of ids, so reruns agree.
 
-Defined results: a null source is a source of its own, the last one; a null text has size 0; rows equal
-in id, source and size share one decision and are weighed together; documents of size 0 take no words
-and are left out of the mix; an empty table gives no rows. Extra columns are kept by `mix`.
+Defined results: a null source is a source of its own, the last one; a null text has size 0; a very long
+text weighs its words like any other; rows equal in id, source and size share one decision and are
+weighed together; ties of size are ordered by id; documents of size 0 take no words and are left out of
+the mix; an empty table gives no rows. Extra columns are kept by `mix`, and none of its own clash with
+them but for names that begin with an underscore.
 """
 
 from __future__ import annotations
@@ -76,47 +78,45 @@ def _fold(items: str, salt: int) -> Column:
     return F.expr(step)
 
 
-def _absorb(items: str) -> Column:
-    """Flip decisions of an array of struct(id, size, p), largest first, as long as `err` words remain unflipped."""
-    return F.expr(f"""
-      aggregate({items}, named_struct('err', err, 'done', cast(array() as array<struct<id:string,size:bigint,p:double>>)),
-        (a, x) -> CASE
-          WHEN x.p = 1D AND x.size <= a.err THEN named_struct('err', a.err - x.size, 'done', array_append(a.done, named_struct('id', x.id, 'size', x.size, 'p', 0D)))
-          WHEN x.p = 0D AND x.size <= -a.err THEN named_struct('err', a.err + x.size, 'done', array_append(a.done, named_struct('id', x.id, 'size', x.size, 'p', 1D)))
-          ELSE named_struct('err', a.err, 'done', array_append(a.done, x)) END)""")
-
-
 def _blocks(units: DataFrame) -> DataFrame:
     items = F.sort_array(F.collect_list(F.struct((-F.col("size")).alias("o"), "id", "size", "p")))
     return units.groupBy("source", "block").agg(F.transform(items, lambda x: F.struct(x["id"].alias("id"), x["size"].alias("size"), x["p"].alias("p"))).alias("items"))
 
 
+def size_ordered(units: DataFrame) -> DataFrame:
+    """units with `block`: blocks of about BLOCK units of a source, the largest documents in the first.
+
+    Counts by size class (1/16 of an octave, so a few hundred a source at most) tell where a class begins;
+    within it the id's hash deals units to its blocks.
+    """
+    band = F.floor(F.log2("size") * -16).cast("int")
+    banded = units.withColumn("_band", band)
+    counts = banded.groupBy("source", "_band").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("source").orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(F.col("source").alias("_s"), F.col("_band").alias("_b"), "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_from"))
+    placed = banded.join(starts, F.expr("source <=> _s AND _band = _b"))
+    return placed.withColumn("block", F.floor((F.col("_from") + F.pmod(F.xxhash64("id"), F.col("_n"))) / BLOCK).cast("long")).select(*units.columns, "block")
+
+
 def round_copies(units: DataFrame) -> DataFrame:
-    """units (source, id string, size > 0, p in [0, 1), block) -> (source, id, size, p in {0, 1}).
+    """units (source, id string, size > 0, p in [0, 1)) -> (source, id, size, p in {0, 1}).
 
-    The one fraction that a source has left in the end is rounded at random; the words by which that
-    misses are taken back from, or given to, small documents of the source's first block.
+    Blocks are folded largest document first, and so are the carries of each further level. A move
+    settles the document that has less to give, so large fractions meet their like early and what is
+    left of a source in the end is mostly a small document. That one is rounded at random.
     """
-    level, done, first = 0, [], None
+    level, done = 0, []
+    units = size_ordered(units)
     while True:
         folded = materialize(_blocks(units).withColumn("f", _fold("items", level)).select("source", "block", "f.carry", "f.done"), "rounding")
-        if first is None:
-            first = folded.filter("block = 0").select("source", "done")
-            done.append(folded.filter("block <> 0").select("source", F.explode("done").alias("r")).select("source", "r.*"))
-        else:
-            done.append(folded.select("source", F.explode("done").alias("r")).select("source", "r.*"))
+        done.append(folded.select("source", F.explode("done").alias("r")).select("source", "r.*"))
         most = folded.agg(F.max("block").alias("m")).collect()[0]["m"]
         carried = folded.filter("carry IS NOT NULL").select("source", F.col("carry.id").alias("id"), F.col("carry.size").alias("size"), F.col("carry.p").alias("p"), F.floor(F.col("block") / TREE).cast("long").alias("block"))
         if not most:  # one block for each source
             break
         units, level = carried, level + 1
     u = F.pmod(F.xxhash64("id", "size", F.lit(-1)), F.lit(1 << 53)) / F.lit(_SCALE)
-    last = carried.withColumn("up", F.when(u < F.col("p"), 1.0).otherwise(0.0))
-    missed = last.select(F.col("source").alias("_m"), ((F.col("up") - F.col("p")) * F.col("size")).alias("err"))
-    largest_first = F.expr("transform(sort_array(transform(done, x -> named_struct('o', -x.size, 'id', x.id, 'size', x.size, 'p', x.p))), x -> named_struct('id', x.id, 'size', x.size, 'p', x.p))")
-    absorbed = first.join(missed, F.expr("source <=> _m"), "left").withColumn("err", F.coalesce("err", F.lit(0.0))).withColumn("items", largest_first)
-    done.append(absorbed.select("source", F.explode(_absorb("items")["done"]).alias("r")).select("source", "r.*"))
-    out = last.select("source", "id", "size", F.col("up").alias("p"))
+    out = carried.select("source", "id", "size", F.when(u < F.col("p"), 1.0).otherwise(0.0).alias("p"))
     for d in done:
         out = out.unionByName(d)
     return out
@@ -125,15 +125,13 @@ def round_copies(units: DataFrame) -> DataFrame:
 def copies(docs: DataFrame, cap: int = CAP) -> DataFrame:
     """A row for each (doc_id, source, size): how many rows have it, its source's size and target, and copies."""
     sized = materialize(docs.select("doc_id", "source", words(F.col("text")).alias("size")).groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("n_rows")), "sizes")
-    sizes = sized.groupBy("source").agg(F.sum(F.col("size") * F.col("n_rows")).alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
-    plan = targets(sizes.select("source", "source_size"), cap).withColumnRenamed("source", "_s")
-    plan = materialize(plan.join(sizes.select(F.col("source").alias("_t"), "n_docs"), F.expr("_s <=> _t")).drop("_t"), "targets")
+    sizes = sized.groupBy("source").agg(F.sum(F.col("size") * F.col("n_rows")).alias("source_size"))
+    plan = materialize(targets(sizes, cap).withColumnRenamed("source", "_s"), "targets")
     each = sized.join(plan, F.expr("source <=> _s"), "left").drop("_s")
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     each = each.withColumn("_share", share).withColumn("_whole", F.floor(F.col("_share") + 1e-12))
     ident = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("size").cast("string"))
-    block = F.pmod(F.xxhash64("doc_id", "size"), F.ceil(F.col("n_docs") / BLOCK).cast("long"))
-    units = each.filter("size > 0").select("source", ident.alias("id"), (F.col("size") * F.col("n_rows")).alias("size"), F.greatest(F.lit(0.0), F.col("_share") - F.col("_whole")).alias("p"), block.alias("block"))
+    units = each.filter("size > 0").select("source", ident.alias("id"), (F.col("size") * F.col("n_rows")).alias("size"), F.greatest(F.lit(0.0), F.col("_share") - F.col("_whole")).alias("p"))
     rounded = round_copies(units).select(F.col("source").alias("_source"), F.col("id").alias("_id"), F.col("p").cast("long").alias("_up"))
     decided = each.withColumn("_ident", ident).join(rounded, F.expr("source <=> _source AND _ident = _id"), "left")
     number = F.when(F.col("size") > 0, F.col("_whole") + F.coalesce(F.col("_up"), F.lit(0))).otherwise(F.lit(0)).cast("long")
