@@ -5,8 +5,10 @@ of piece lengths, at most `size` rows however many documents there are, reaches
 lengths are placed longest first into the pack that is shortest so far, as counts of packing patterns;
 the patterns are then joined back to the pieces by their rank within their length.
 
-Defined results: a null text packs like an empty one, as the end token alone; an empty table gives no
-rows; repeated rows are packed as often as they stand; extra columns are dropped.
+Defined results: a null text packs like an empty one, as the end token alone; a very long text is cut
+into full sequences and a rest; an empty table gives no rows; repeated rows are packed as often as they
+stand, as copies told apart by number; pieces of one length are ranked by id, place and checksum, so
+ties are between like pieces only; extra columns, of whatever name, are dropped.
 """
 
 from __future__ import annotations
@@ -49,8 +51,9 @@ class WordIds(dict):
 
     The tokeniser drops white space and never joins across it, so a text's ids are its words' ids in
     order. A word of letters with punctuation behind is two such runs, so most words are put together
-    from the ids of their letters and of their punctuation. Strings of special tokens are ordinary
-    text. At most `most` words and as many runs of letters are remembered.
+    from the ids of their letters and of their punctuation. A text that holds the string of a special
+    token (in any case, white space within included) is encoded as a whole, since such strings are told
+    apart before words are. At most `most` words and as many runs of letters are remembered.
     """
 
     def __init__(self, path: str, most: int = 450_000):
@@ -60,13 +63,17 @@ class WordIds(dict):
         self.most = most
         self.runs: dict[bytes, bytes] = {b"": b""}
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a run
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def ids(self, texts: list[bytes | None], end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of texts, each followed by `end`, and where each text begins (and the last one ends)."""
+        low = b"\0".join([t or b"" for t in texts]).lower()
+        if any(x in low for x in self.special):
+            odd = [i for i, t in enumerate(texts) if t and any(x in t.lower() for x in self.special)]
+            return self._with_special(texts, odd, end)
         w = Words(texts)
         _, lead, at = np.unique(w.hash, return_index=True, return_inverse=True)
         distinct = [w.buffer[s:e] for s, e in zip(w.start[lead].tolist(), w.end[lead].tolist())]
@@ -84,6 +91,15 @@ class WordIds(dict):
         out[place + np.repeat(text, n)] = table[place + np.repeat(begin[at] - to + n, n)]
         return out, before[w.first] + np.arange(len(texts) + 1)
 
+    def _with_special(self, texts: list[bytes | None], odd: list[int], end: int) -> tuple[np.ndarray, np.ndarray]:
+        """ids(), where the texts of `odd` hold special tokens and are encoded as they are."""
+        whole = dict(zip(odd, self._encode([texts[i].decode("utf-8", "replace") for i in odd])))
+        flat, first = self.ids([None if i in whole else t for i, t in enumerate(texts)], end)
+        parts = [flat[a:b] for a, b in zip(first, first[1:])]
+        for i, ids in whole.items():
+            parts[i] = np.append(ids, np.uint32(end)).astype("<u4")
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -250,13 +266,24 @@ def assign(ranked_pieces: DataFrame, plan: Plan) -> DataFrame:
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE, end: int = END, with_ids: bool = False) -> DataFrame:
-    """A row for each piece with its sequence and its offset there."""
+    """A row for each piece with its copy number, its sequence and its offset there.
+
+    Rows equal in id and text are copies of one document, numbered from 0; their pieces are alike, so it
+    does not matter which copy a piece belongs to, only that each copy has all of its pieces.
+    """
     cut = materialize(pieces(docs, tokenizer, size, end, with_ids), "pieces")
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     plan = shortest_pack_first(histogram, size)
-    return assign(ranked(cut, ["length"], ["doc_id", "start"], "rank", sum(histogram.values())), plan)
+    order = ["doc_id", "start", "ids_crc32", "doc_tokens"]
+    return assign(ranked(cut, ["length"], order, "rank", sum(histogram.values()), ties="copy"), plan)
 
 
 def query(docs: DataFrame) -> DataFrame:
     out = pack(docs)
-    return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "copy")
+
+
+def sequences(docs: DataFrame) -> DataFrame:
+    """The packed corpus: the digest's columns and the token ids of every piece, little-endian 32-bit."""
+    out = pack(docs, with_ids=True)
+    return out.select("doc_id", "copy", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids")

@@ -1,6 +1,13 @@
 """The corpus pipeline: rules, near-dedup, passage dedup, mixing and packing, one after the other.
 
-Every stage works on all that its predecessor kept, and its result is written before the next begins.
+Every stage works on all that its predecessor kept, and its result is written before the next begins;
+what a stage wrote for itself, and its input, is deleted as soon as its result stands.
+
+Defined results: a null text counts as empty, fails the quality rules and goes; very long texts are
+judged, compared, cut, weighed and packed whole; rows of one id are one document to the near-dedup, which
+keeps or drops them together; ties go to the least id, or to the row that stands first; repeated rows are
+copies to the mix and are packed as such; an empty table gives an empty result; extra columns pass
+through all stages but the last, which drops them.
 """
 
 from __future__ import annotations
@@ -34,8 +41,8 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each piece of each document: its tokens' place in a sequence."""
-    return packing.query(docs)
+    """A row for each piece of each copy of a document: its token ids and their place in a sequence."""
+    return packing.sequences(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

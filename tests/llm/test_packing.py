@@ -37,7 +37,6 @@ def test_plan_places_every_piece_once(histogram):
 @given(st.text(st.characters(codec="utf-8"), max_size=60))
 def test_ids_of_words_are_ids_of_the_text(text):
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     known = P._words(P.default_tokenizer())
     w = text.encode().split()
     known.learn({x.lower() for x in w})
@@ -47,7 +46,6 @@ def test_ids_of_words_are_ids_of_the_text(text):
 @pytest.mark.parametrize("size", [4096, 64])
 def test_pieces_and_sequences(docs, size):
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     rows = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
     got = P.pack(docs, size=size).collect()
     by_doc, by_seq = defaultdict(list), defaultdict(list)
@@ -88,6 +86,31 @@ def test_letters_that_the_tokenizer_takes_apart(word):
     assert known.ids([text.encode(), b"other words"], 2)[0].tolist()[: len(want)] == want
 
 
+def test_every_letter_and_special_strings():
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    known = P.WordIds(P.default_tokenizer())
+    letters = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and chr(c).isalpha() and c < 0x3400 or c in (0x4E00, 0xAC00, 0xFB1D, 0x1D400)]
+    texts = [f"{c} a{c} {c}b, {c}." for c in letters]
+    texts += ["<|endoftext|> hi", "so <|EndOfText|>.", "x<|startoftext|>y <|endoftext|><|endoftext|>", "<|endoftext| > no", "\t<|endoftext|>\n Größe"]
+    want = [e.ids + [2] for e in t.encode_batch(texts, add_special_tokens=False)]
+    flat, first = known.ids([x.encode() for x in texts], 2)
+    got = [flat[a:b].tolist() for a, b in zip(first, first[1:])]
+    assert [x for x, a, b in zip(texts, got, want) if a != b] == []
+
+
+def test_copies_are_told_apart(spark):
+    rows = [(1, "a b c", "", "", 0)] * 3 + [(2, "word " * 300, "", "", 0)] * 2 + [(3, "a b c", "", "", 0)]
+    got = P.sequences(frame(spark, rows)).collect()
+    assert sorted((r.doc_id, r.copy, r.start) for r in got) == [(1, 0, 0), (1, 1, 0), (1, 2, 0), (2, 0, 0), (2, 1, 0), (3, 0, 0)]
+    assert all(zlib.crc32(r.ids) == r.ids_crc32 and len(r.ids) == 4 * r.length for r in got)
+
+
+def test_very_long_text_and_clashing_columns(spark):
+    rows = [(1, "ab " * 10_000, 7, 8, "x")]
+    got = P.query(spark.createDataFrame(rows, "doc_id long, text string, length int, offset int, copy string")).orderBy("start").collect()
+    assert [r.length for r in got] == [4096, 4096, got[0].doc_tokens - 8192] and got[0].doc_tokens == 10_001
+
+
 def test_pack_text_with_dotted_capital_i(spark):
     rows = [(1, "Old İstanbul, İzmir and plain words", "tr", "", 0), (2, "plain words", "en", "", 0)]
     assert {r.doc_id for r in P.query(frame(spark, rows)).collect()} == {1, 2}
