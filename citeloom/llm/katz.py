@@ -1,22 +1,23 @@
-"""Operator 4: scores of a Katz backoff bigram model, learned from all training documents.
-
-Katz: P(w|h) = d * c(h,w) / c(h) for pairs seen in training, else a(h) * P(w); P(w) = d * c(w) / N for
-words seen, and what the discounts leave for all others. The discounts d are Good-Turing's for counts
-up to 5; a(h) makes the probabilities after h sum to one exactly. A text is scored from a start symbol
-to its end token.
-
-Documents are dealt to blocks of a few million tokens. A block asks for what it needs, once for each
-distinct word and pair it holds, as arrays of 64-bit hashes cut into parts by hash; a part adds up
-what all blocks say and answers each block in the order of its question. So counts and weights are
-partitioned tables of compact arrays, every pair travels once for each block that holds it rather than
-once for each token, and hot words cost no more than rare ones. Three rounds: counts of words and of
-pairs; backoff weights of histories, from the pairs that the parts gave each block to own; scores.
-
-Defined results: a null or empty text is its end token alone; without training rows every text's
-score is that of unknown words, 0; rows without an id are training rows; repeated rows are learned and
-scored as often as they stand; extra columns are dropped. The counts of counts may not give discounts
-between 0 and 1 on tiny corpora; then 1/2 is taken off every count up to 5. A history whose counts
-are all undiscounted keeps 1 / (c(h) + 1) for the rest.
+"""Operator 4: scores of a Katz backoff n-gram model, learned from all training documents.
+
+Katz: P(w|h) = d * c(hw) / c(h) for n-grams seen in training, else a(h) * P(w|h'), where h' is h without
+its first word; P(w) = d * c(w) / N for words seen, and what the discounts leave for all others. The
+discounts d are Good-Turing's, of each order's own counts of counts, for counts up to 5; a(h) makes the
+probabilities after h sum to one exactly. A text is scored from start symbols to its end token.
+
+Documents are dealt to blocks of about a million tokens. A block asks for what it needs, once for each
+distinct n-gram it holds, as arrays of 64-bit hashes (`exchange`): so counts and weights are partitioned
+tables of compact arrays, every n-gram travels once for each block that holds it rather than once for
+each token, and hot words cost no more than rare ones. Rounds: counts of words; counts of pairs; weights
+of words as histories, with the counts of triples; weights of pairs; scores. A history that stands once
+in all documents, in training, has one successor; its block knows all there is to know and asks nothing.
+
+Defined results: a null or empty text is its end token alone; without training rows every text's score
+is that of unknown words, 0; rows without an id are training rows; repeated rows are learned and scored
+as often as they stand; a very long text is scored whole, as a block of its own if need be; scores are
+sums, so there are no ties to break; extra columns, of whatever name, are dropped. The counts of counts
+may not give discounts between 0 and 1 on tiny corpora; then 1/2 is taken off every count up to 5. A
+history whose counts are all undiscounted keeps 1 / (c(h) + 1) for the rest.
 """
 
 from __future__ import annotations
@@ -29,16 +30,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import Words, materialize, mix64, pieces_of, tidy, utf8
-from citeloom.llm.exchange import ANSWER, QUESTION, ask, gather, get, get_sorted, messages, packed, put, put_sorted, unpacked, with_answers
+from citeloom.llm.common import Words, forget_shuffles, materialize, mix64, pieces_of, tidy, utf8
+from citeloom.llm.exchange import QUESTION, Tree, ask, counts_of, exchange, get, get_sorted, messages, opened, put, put_sorted, with_answers
 
 END = np.uint64(0x2545F4914F6CDD1D)
 START = np.uint64(0x9E6C63D0876A9A47)
 HELD_OUT_OF, HELD_OUT = 7, 2
-BLOCK_TOKENS = 2_000_000
+ORDER = 3
+BLOCK_TOKENS = 1_000_000
 PART_KEYS = 3_000_000
 K = 5
-WORDS, PAIRS, WEIGHTS = 1, 2, 3
+#: Kinds of questions: counts of order m, its weights, and how many n-grams blocks know without asking.
+COUNT, WEIGHT, ALONE = 0, 100, 200
+
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -78,79 +83,92 @@ def blocks(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), BLOCKS)
 
 
+class Order:
+    """A block's distinct n-grams of one order, by hash, and what is known of each.
+
+    token is each token's place among them, history the place of its history among those of the order
+    below (one more for the start), lower the place of the n-gram without its first word.
+    """
+
+    def __init__(self, hashes: np.ndarray, token: np.ndarray, history: np.ndarray | None = None, lower: np.ndarray | None = None):
+        self.hashes, self.token, self.history, self.lower = hashes, token, history, lower
+        self.total = self.elsewhere = self.owner = self.alone = None
+
+
 class Block:
-    """A block's tokens, words and pairs; words and pairs are in the order of their hashes."""
+    """A block's tokens and their n-grams."""
 
     def __init__(self, row: dict):
         self.number = row["block"]
         ids, known = get(row["ids"], np.int64), get(row["known_ids"], np.bool_)
         self.ids = [int(i) if k else None for i, k in zip(ids, known)]
         self.lengths = get(row["lengths"], np.int64)
-        self.words = get_sorted(row["words"])
-        self.tokens = get(row["tokens"][1:], np.uint16 if row["tokens"][0] == 2 else np.uint32).astype(np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
+        words = get_sorted(row["words"])
+        tokens = get(row["tokens"][1:], np.uint16 if row["tokens"][0] == 2 else np.uint32).astype(np.int64)
         self.held = np.array([held_out(i) for i in self.ids])
         self.train = np.repeat(~self.held, self.lengths)
-
-    def histories(self) -> np.ndarray:
-        """The place of each token's history among words, with START after the last."""
-        h = np.empty_like(self.tokens)
-        h[1:] = self.tokens[:-1]
-        h[np.cumsum(self.lengths)[:-1]] = len(self.words)
-        h[0] = len(self.words)
-        return h
-
-    def pairs(self) -> None:
-        """Distinct pairs by hash: pair_hash, history, word; token_pair is each token's place among them."""
-        n = len(self.words) + 1
-        keys, at = np.unique(self.histories() * n + self.tokens, return_inverse=True)
-        history, word = keys // n, keys % n
-        extended = np.append(self.words, START)
-        h = mix64(extended[history] * np.uint64(0x9E3779B97F4A7C15) + extended[word])
-        order = np.argsort(h, kind="stable")
-        place = np.empty_like(order)
-        place[order] = np.arange(len(order))
-        self.pair_hash, self.history, self.word, self.token_pair = h[order], history[order], word[order], place[at]
-
-    def history_hashes(self) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of words and START, ascending, and where each stands among words."""
-        extended = np.append(self.words, START)
-        order = np.argsort(extended, kind="stable")
-        return extended[order], order
-
-
-def _count_questions(table: DataFrame, parts: int) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                b = Block(row)
-                b.pairs()
-                count = np.bincount(b.tokens[b.train], minlength=len(b.words))
-                yield messages(QUESTION, ask(WORDS, b.number, parts, b.words, count.astype(np.int64)))
-                count = np.bincount(b.token_pair[b.train], minlength=len(b.pair_hash))
-                yield messages(QUESTION, ask(PAIRS, b.number, parts, b.pair_hash, count.astype(np.int64)))
-
-    return table.mapInArrow(tidy(run), QUESTION)
-
-
-def _count_answers(questions: DataFrame) -> DataFrame:
-    def answer(table: pa.Table) -> pa.Table:
-        rows, starts, distinct, at = gather(table)
-        count = np.concatenate([get(r["x"], np.int64) for r in rows])
-        total = np.bincount(at, weights=count, minlength=len(distinct)).astype(np.int64)
-        # the first block that saw a pair in training owns it
-        seen = np.flatnonzero(count)
-        owner = np.zeros(len(at), np.int64)
-        owner[seen[np.unique(at[seen], return_index=True)[1]]] = 1
-        kind, part = rows[0]["kind"], rows[0]["part"]
-        out = []
-        for r, i, j in zip(rows, starts, starts[1:]):
-            data = packed(total[at[i:j]] << 1 | owner[i:j])
-            out.append((r["block"], kind, part, data, None))
-        stats = [int(total.sum()), int((total > 0).sum()), *[int((total == r).sum()) for r in range(1, K + 2)]]
-        out.append((-1, kind, part, np.array(stats, '>i8').tobytes(), None))
-        return pa.Table.from_batches([messages(ANSWER, out)])
-
-    return questions.groupBy("kind", "part").applyInArrow(answer, ANSWER)
+        self.orders = [Order(words, tokens)]
+        self.word = words[tokens]
+        self.gram, self.begin = self.word, [START]
+
+    def grow(self) -> Order:
+        """The n-grams of the next order."""
+        low = self.orders[-1]
+        context = np.empty_like(self.gram)
+        context[1:] = self.gram[:-1]
+        context[self.starts] = self.begin[-1]
+        place = np.empty_like(low.token)
+        place[1:] = low.token[:-1]
+        place[self.starts] = len(low.hashes)
+        self.gram = mix64(context * _FACTOR + self.word)
+        self.begin.append(mix64(np.array([self.begin[-1]]) * _FACTOR + START)[0])
+        hashes, first, token = np.unique(self.gram, return_index=True, return_inverse=True)
+        self.orders.append(Order(hashes, token, place[first], low.token[first]))
+        return self.orders[-1]
+
+    def histories(self, m: int) -> np.ndarray:
+        """Hashes of the histories of order m: the n-grams below, and the start."""
+        return np.append(self.orders[m - 2].hashes, self.begin[m - 2])
+
+    def count_of_histories(self, m: int) -> np.ndarray:
+        """c(h): a history is followed as often as it stands; the start as often as there are documents."""
+        return np.append(self.orders[m - 2].total, self.documents)
+
+    def alone_histories(self, m: int) -> np.ndarray:
+        """Histories that stand once in all documents: here."""
+        low = self.orders[m - 2]
+        return np.append((low.total == 1) & ~low.elsewhere, False)
+
+    def asked(self, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which n-grams of order m are asked for, and how often each stands in training and in other documents."""
+        o = self.orders[m - 1]
+        o.alone = np.zeros(len(o.hashes), bool) if m == 1 else self.alone_histories(m)[o.history]
+        n = len(o.hashes)
+        return ~o.alone, np.bincount(o.token[self.train], minlength=n), np.bincount(o.token[~self.train], minlength=n)
+
+    def told(self, m: int, answer: list[np.ndarray] | None) -> None:
+        """Take the answer on order m: counts in training, whether it stands in other documents, and what this block owns."""
+        o, (asked, _, _) = self.orders[m - 1], self.asked(m)
+        o.total, o.elsewhere, o.owner = np.ones(len(o.hashes), np.int64), np.zeros(len(o.hashes), bool), np.ones(len(o.hashes), bool)
+        if answer:
+            o.total[asked], o.elsewhere[asked], o.owner[asked] = answer[0] >> 1, (answer[0] & 1).astype(bool), answer[1].astype(bool)
+        if m == 1:
+            self.documents = int(o.total[np.searchsorted(o.hashes, END)])
+
+
+def _count_question(b: Block, m: int, tree: Tree) -> list[tuple]:
+    asked, train, other = b.asked(m)
+    out = ask(COUNT + m, b.number, tree.first, b.orders[m - 1].hashes[asked], train[asked], other[asked])
+    alone = int((~asked).sum())
+    return out + ask(ALONE + m, b.number, tree.first, np.zeros(1, np.uint64), np.array([alone])) if alone else out
+
+
+def _stats(sums: list[np.ndarray]) -> list[int]:
+    total = sums[0]
+    if total.dtype.kind == "f":
+        return [0] * (K + 3)
+    return [int(total.sum()), int((total > 0).sum()), *[int((total == r).sum()) for r in range(1, K + 2)]]
 
 
 def discounts(n: list[int]) -> np.ndarray:
@@ -168,12 +186,20 @@ def discounts(n: list[int]) -> np.ndarray:
 
 
 class Model:
-    """What the counts of counts determine: discounts and the unigram level."""
-
-    def __init__(self, words: list[int], pairs: list[int]):
-        self.n, self.v = words[0], words[1]
-        self.d_word, self.d_pair = discounts(words[2:]), discounts(pairs[2:])
-        left = sum(c * r * (1 - self.d_word[r]) for r, c in enumerate(words[2:], 1) if r < len(self.d_word))
+    """What the counts of counts determine: the discounts of each order and the level of words."""
+
+    def __init__(self):
+        self.discount: list[np.ndarray] = []
+        self.n = self.v = 0
+
+    def add(self, stats: list[int], alone: int = 0) -> None:
+        """The numbers of the next order, and how many of its n-grams were never asked for, each of count 1."""
+        each = [stats[2] + alone, *stats[3:]]
+        self.discount.append(discounts(each))
+        if len(self.discount) > 1:
+            return
+        self.n, self.v = stats[0], stats[1]
+        left = sum(c * r * (1 - self.discount[0][r]) for r, c in enumerate(each, 1) if r < len(self.discount[0]))
         self.scale = 1.0
         if self.n == 0:
             self.unknown = 1.0
@@ -182,100 +208,148 @@ class Model:
         else:
             self.unknown = left / self.n
 
-    @staticmethod
-    def discounted(count: np.ndarray, d: np.ndarray) -> np.ndarray:
+    def discounted(self, count: np.ndarray, m: int) -> np.ndarray:
+        d = self.discount[m - 1]
         factor = np.ones(len(count))
         low = count < len(d)
         factor[low] = d[count[low]]
         return factor * count
 
     def word(self, count: np.ndarray) -> np.ndarray:
-        p = self.discounted(count, self.d_word) * self.scale / max(self.n, 1)
+        p = self.discounted(count, 1) * self.scale / max(self.n, 1)
         return np.where(count > 0, p, self.unknown)
 
 
-def _block_and_answers(table: pa.Table) -> tuple[Block, dict[int, list[dict]]]:
-    """The row of a block and its answers, by kind, in the order of parts."""
-    rows = table.to_pylist()
-    block = Block(next(r for r in rows if r["kind"] == 0))
-    block.pairs()
-    answers: dict[int, list[dict]] = {}
-    for r in sorted(rows, key=lambda r: r["part"] or 0):
-        if r["kind"]:
-            answers.setdefault(r["kind"], []).append(r)
-    return block, answers
+def weights(count: np.ndarray, missing: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """a(h) from c(h), what the discounts took, and the lower probability of its successors; negative where nothing was taken."""
+    safe = np.maximum(count, 1)
+    full = (missing <= 1e-9 * safe) & (count > 0)
+    left = np.where(full, 1 / (safe + 1), missing / safe)
+    out = left / np.maximum(1 - p, 1e-12)
+    return np.where(count > 0, np.where(full, -out, out), 1.0)
 
 
-def _weight_questions(table: DataFrame, counted: DataFrame, model: Model, parts: int) -> DataFrame:
-    def run(rows: pa.Table) -> pa.Table:
-        b, answers = _block_and_answers(rows)
-        word = np.concatenate([unpacked(r["x"]) for r in answers[WORDS]]) >> 1
-        pair = np.concatenate([unpacked(r["x"]) for r in answers[PAIRS]])
-        own = np.flatnonzero(pair & 1)
-        count, history = pair[own] >> 1, b.history[own]
-        n = len(b.words) + 1
-        p = model.word(word)[b.word[own]]
-        sums = [np.bincount(history, weights=x, minlength=n) for x in (count, model.discounted(count, model.d_pair), p)]
-        keys, order = b.history_hashes()
-        return pa.Table.from_batches([messages(QUESTION, ask(WEIGHTS, b.number, parts, keys, *[s[order] for s in sums]))])
-
-    return with_answers(table, counted).applyInArrow(run, QUESTION)
-
-
-def _weight_answers(questions: DataFrame, model: Model) -> DataFrame:
-    def answer(table: pa.Table) -> pa.Table:
-        rows, starts, distinct, at = gather(table)
-        count, kept, p = (np.bincount(at, weights=np.concatenate([get(r[c], np.float64) for r in rows]), minlength=len(distinct)) for c in "xyz")
-        full = count - kept <= 1e-9 * count  # nothing was discounted
-        factor = np.where(full & (count > 0), count / (count + 1), 1.0)
-        safe = np.maximum(count, 1)
-        weight = np.where(count > 0, (1 - factor * kept / safe) / np.maximum(1 - p, model.unknown), 1.0)
-        out = [(r["block"], WEIGHTS, r["part"], put(weight[at[i:j]]), put((factor / safe)[at[i:j]])) for r, i, j in zip(rows, starts, starts[1:])]
-        return pa.Table.from_batches([messages(ANSWER, out)])
-
-    return questions.groupBy("kind", "part").applyInArrow(answer, ANSWER)
+def probabilities(b: Block, model: Model, m: int, found: dict[int, list[np.ndarray]]) -> np.ndarray:
+    """P of each n-gram of order m that the block holds, by the recursion of Katz."""
+    p = model.word(b.orders[0].total)
+    for k in range(2, m + 1):
+        o = b.orders[k - 1]
+        a = _all_weights(b, model, k, p, found[WEIGHT + k][0] if WEIGHT + k in found else None)
+        safe = np.maximum(b.count_of_histories(k), 1)
+        factor = np.where(a < 0, safe / (safe + 1), 1.0) / safe
+        p = np.where(o.total > 0, model.discounted(o.total, k) * factor[o.history], np.abs(a)[o.history] * p[o.lower])
+    return p
+
+
+def _sums(b: Block, model: Model, m: int, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each history of order m what the discounts took of the n-grams that this block owns, and their lower probability."""
+    o = b.orders[m - 1]
+    own = np.flatnonzero(o.owner & (o.total > 0))
+    n = len(b.orders[m - 2].hashes) + 1
+    missing = o.total[own] - model.discounted(o.total[own], m)
+    return np.bincount(o.history[own], weights=missing, minlength=n), np.bincount(o.history[own], weights=lower[o.lower[own]], minlength=n)
+
+
+def _asked_histories(b: Block, m: int) -> np.ndarray:
+    """Places of the histories that stand here, are known to training and not to this block alone, in the order of their hashes."""
+    used = np.bincount(b.orders[m - 1].history, minlength=len(b.orders[m - 2].hashes) + 1) > 0
+    at = np.flatnonzero(used & (b.count_of_histories(m) > 0) & ~b.alone_histories(m))
+    return at[np.argsort(b.histories(m)[at], kind="stable")]
+
+
+def _all_weights(b: Block, model: Model, m: int, lower: np.ndarray, told: np.ndarray | None) -> np.ndarray:
+    missing, p = _sums(b, model, m, lower)
+    out = weights(np.where(b.alone_histories(m), b.count_of_histories(m), 0), missing, p)
+    if told is not None:
+        out[_asked_histories(b, m)] = told
+    return out
+
+
+def _weight_question(b: Block, model: Model, m: int, lower: np.ndarray, tree: Tree) -> list[tuple]:
+    missing, p = _sums(b, model, m, lower)
+    at = _asked_histories(b, m)
+    # the count goes along once for each history, from the block that owns the most: all say it, the part divides
+    one = np.ones(len(at), np.int64)
+    return ask(WEIGHT + m, b.number, tree.first, b.histories(m)[at], one, b.count_of_histories(m)[at], missing[at], p[at])
+
+
+def _solve(kind: int, sums: list[np.ndarray]) -> list[np.ndarray]:
+    if kind >= ALONE:
+        return [sums[0]]
+    if kind >= WEIGHT:
+        return [weights(sums[1] // sums[0], sums[2], sums[3])]
+    return [sums[0] << 1 | (sums[1] > 0)]
+
+
+def _learn(b: Block, found: dict[int, list[np.ndarray]], most: int) -> None:
+    """Grow the block to order `most` and take all answers on counts that are there."""
+    for m in range(1, most + 1):
+        if m > 1:
+            b.grow()
+        if m < most or COUNT + m in found or m == 1 and found:
+            b.told(m, found.get(COUNT + m))
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _scores(table: DataFrame, counted: DataFrame, weighted: DataFrame, model: Model) -> DataFrame:
+def _scores(table: DataFrame, answers: list[DataFrame], model: Model, order: int) -> DataFrame:
     def run(rows: pa.Table) -> pa.Table:
-        b, answers = _block_and_answers(rows)
-        word = np.concatenate([unpacked(r["x"]) for r in answers[WORDS]]) >> 1
-        pair = np.concatenate([unpacked(r["x"]) for r in answers[PAIRS]]) >> 1
-        weight, factor = (np.concatenate([get(r[c], np.float64) for r in answers[WEIGHTS]]) for c in "xy")
-        _, order = b.history_hashes()
-        place = np.empty_like(order)
-        place[order] = np.arange(len(order))
-        h = place[b.history]
-        seen = np.log10(np.maximum(model.discounted(pair, model.d_pair) * factor[h], 1e-300))
-        backed = np.log10(weight[h]) + np.log10(model.word(word))[b.word]
-        score = np.where(pair > 0, seen, backed)[b.token_pair]
-        base = np.log10((word + 1) / (model.n + model.v + 1))[b.tokens]
-        starts = np.concatenate([[0], np.cumsum(b.lengths)[:-1]])
-        sums = [np.add.reduceat(x, starts) for x in ((word > 0).astype(np.int64)[b.tokens], base, score)]
+        row, found = opened(rows)
+        b = Block(row)
+        _learn(b, found, order)
+        b.told(order, found.get(COUNT + order))
+        score = np.log10(probabilities(b, model, order, found))[b.orders[order - 1].token]
+        count, token = b.orders[0].total, b.orders[0].token
+        base = np.log10((count + 1) / (model.n + model.v + 1))[token]
+        sums = [np.add.reduceat(x, b.starts) for x in ((count > 0).astype(np.int64)[token], base, score)]
         n = len(b.ids)
         cols = [pa.array(b.ids, pa.int64()), pa.array(b.held), pa.array(b.lengths), pa.array(sums[0]), pa.array(np.full(n, model.n)), pa.array(sums[1]), pa.array(sums[2])]
         return pa.Table.from_arrays(cols, names=[x.split()[0] for x in SCORES.split(", ")])
 
-    return with_answers(table, counted, weighted).applyInArrow(run, SCORES)
+    return with_answers(table, *answers).applyInArrow(run, SCORES)
+
+
+def _questions(table: DataFrame, answers: list[DataFrame], model: Model, tree: Tree, order: int, m: int) -> DataFrame:
+    """Round m: the counts of order m (if it is one) and the weights of order m - 1 (from the third round on)."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        row, found = opened(rows)
+        b = Block(row)
+        _learn(b, found, min(m, order))
+        out = _count_question(b, m, tree) if m <= order else []
+        if m > 2:
+            if m > order:
+                b.told(order, found.get(COUNT + order))
+            out += _weight_question(b, model, m - 1, probabilities(b, model, m - 2, found), tree)
+        return pa.Table.from_batches([messages(QUESTION, out)])
+
+    return with_answers(table, *answers).applyInArrow(run, QUESTION)
+
+
+def _first_questions(table: DataFrame, tree: Tree) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield messages(QUESTION, _count_question(Block(row), 1, tree))
+
+    return table.mapInArrow(tidy(run), QUESTION)
 
 
-def score(docs: DataFrame) -> DataFrame:
+def score(docs: DataFrame, order: int = ORDER, fan: int | None = None) -> DataFrame:
     """Scores of all documents by the model of those that are not held out."""
     table = materialize(blocks(docs), "blocks")
-    count = table.count()
-    parts = max(1, -(-count * BLOCK_TOKENS // PART_KEYS))
-    counted = materialize(_count_answers(_count_questions(table, parts)), "counts")
-    stats = {WORDS: [0] * (K + 3), PAIRS: [0] * (K + 3)}
-    # one short row for each part; added up where they are, so the driver gets two rows
-    said = counted.filter("block < 0").select("kind", "x").groupBy("kind").agg(*[F.sum(F.conv(F.hex(F.expr(f"substring(x, {8 * i + 1}, 8)")), 16, 10).cast("long")).alias(f"s{i}") for i in range(K + 3)])
-    for r in said.collect():
-        stats[r["kind"]] = list(r)[1:]
-    model = Model(stats[WORDS], stats[PAIRS])
-    weighted = materialize(_weight_answers(_weight_questions(table, counted, model, parts), model), "weights")
-    return _scores(table, counted, weighted, model)
+    n = table.count()
+    tree = Tree(max(1, -(-n * BLOCK_TOKENS // PART_KEYS)), fan)
+    model, answers = Model(), []
+    for m in range(1, order + (2 if order > 1 else 1)):
+        asked = _first_questions(table, tree) if m == 1 else _questions(table, answers, model, tree, order, m)
+        answers.append(exchange(asked, tree, _solve, n, owners=True, stats=_stats, name=f"round{m}"))
+        if m <= order:
+            said = counts_of(answers[-1], K + 3)
+            model.add(said.get(COUNT + m, [0] * (K + 3)), said.get(ALONE + m, [0])[0])
+    forget_shuffles(docs.sparkSession)
+    return _scores(table, answers, model, order)
 
 
 def query(docs: DataFrame) -> DataFrame:

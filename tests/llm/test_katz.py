@@ -1,6 +1,7 @@
 import math
 import zlib
 from collections import Counter, defaultdict
+from functools import lru_cache
 
 import pytest
 
@@ -12,47 +13,56 @@ def tokens(text):
     return [w.decode() for w in (text or "").encode().lower().split()] + ["</s>"]
 
 
-def brute(rows):
+def brute(rows, order=3):
     train = [tokens(t) for i, t in rows if i is None or zlib.crc32(str(i).encode()) % 7 != 2]
-    uni, bi = Counter(), Counter()
+    count = [Counter() for _ in range(order + 1)]
     for x in train:
-        uni.update(x)
-        bi.update(zip(["<s>", *x], x))
+        for m in range(1, order + 1):
+            padded = ["<s>"] * (m - 1) + x
+            count[m].update(tuple(padded[i : i + m]) for i in range(len(x)))
+    uni = Counter({w: c for (w,), c in count[1].items()})
     n, v = sum(uni.values()), len(uni)
     of = lambda c: [sum(k == r for k in c.values()) for r in range(1, katz.K + 2)]
-    du, db = katz.discounts(of(uni)), katz.discounts(of(bi))
-    d = lambda t, c: (t[c] if c < len(t) else 1.0) * c
-    left = 1 - sum(d(du, c) for c in uni.values()) / n if n else 1.0
-    p = lambda w: d(du, uni[w]) / n if uni[w] else left
+    disc = [None] + [katz.discounts(of(count[m])) for m in range(1, order + 1)]
+    d = lambda m, c: (disc[m][c] if c < len(disc[m]) else 1.0) * c
+    left = 1 - sum(d(1, c) for c in uni.values()) / n if n else 1.0
     after = defaultdict(dict)
-    for (h, w), c in bi.items():
-        after[h][w] = c
+    for m in range(2, order + 1):
+        for g, c in count[m].items():
+            after[g[:-1]][g[-1]] = c
+
+    @lru_cache(None)
+    def weight(h):
+        seen, m = after[h], len(h) + 1
+        total, kept = sum(seen.values()), sum(d(m, c) for c in seen.values())
+        f = total / (total + 1) if total - kept <= 1e-9 * total else 1.0
+        return f / total, (1 - f * kept / total) / (1 - sum(cond(h[1:], x) for x in seen))
 
+    @lru_cache(None)
     def cond(h, w):
-        seen = after.get(h)
-        if not seen:
-            return p(w)
-        total = sum(seen.values())
-        kept = sum(d(db, c) for c in seen.values())
-        f = total / (total + 1) if total - kept <= 1e-9 * total else 1.0
-        if w in seen:
-            return f * d(db, seen[w]) / total
-        return (1 - f * kept / total) / (1 - sum(p(x) for x in seen)) * p(w)
+        if not h:
+            return d(1, uni[w]) / n if uni[w] else left
+        if h not in after:
+            return cond(h[1:], w)
+        f, a = weight(h)
+        return f * d(len(h) + 1, after[h][w]) if w in after[h] else a * cond(h[1:], w)
 
     out = {}
     for i, t in rows:
         x = tokens(t)
-        out[i] = (len(x), sum(uni[w] > 0 for w in x), n, sum(math.log10((uni[w] + 1) / (n + v + 1)) for w in x), sum(math.log10(cond(h, w)) for h, w in zip(["<s>", *x], x)))
+        padded = ["<s>"] * (order - 1) + x
+        score = sum(math.log10(cond(tuple(padded[k : k + order - 1]), w)) for k, w in enumerate(x))
+        out[i] = (len(x), sum(uni[w] > 0 for w in x), n, sum(math.log10((uni[w] + 1) / (n + v + 1)) for w in x), score)
     return out, cond, uni, after
 
 
-@pytest.mark.parametrize("limit", [katz.BLOCK_TOKENS, 900])
-def test_scores_equal_brute_force(spark, docs, monkeypatch, limit):
+@pytest.mark.parametrize("order,limit,fan", [(3, katz.BLOCK_TOKENS, None), (3, 900, None), (3, 2500, 2), (2, 2500, 3), (1, 2500, None), (4, 2500, None)])
+def test_scores_equal_brute_force(spark, docs, monkeypatch, order, limit, fan):
     monkeypatch.setattr(katz, "BLOCK_TOKENS", limit)
-    monkeypatch.setattr(katz, "PART_KEYS", 2000)
+    monkeypatch.setattr(katz, "PART_KEYS", 5000)
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
-    want, *_ = brute(rows)
-    got = katz.query(docs).collect()
+    want, *_ = brute(rows, order)
+    got = katz.score(docs, order, fan).collect()
     assert len(got) == len(rows)
     for r in got:
         n, known, train, base, score = want[r.doc_id]
@@ -63,7 +73,7 @@ def test_scores_equal_brute_force(spark, docs, monkeypatch, limit):
 
 def test_probabilities_sum_to_one():
     _, cond, uni, after = brute([(i, t) for i, t, *_ in corpus()])
-    for h in [*list(after)[:20], "never seen"]:
+    for h in [*list(after)[:20], *list(after)[-20:], ("never", "seen")]:
         assert math.isclose(sum(cond(h, w) for w in [*uni, "<unknown>"]), 1, rel_tol=1e-9)
 
 

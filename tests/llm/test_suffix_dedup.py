@@ -1,3 +1,6 @@
+import random
+
+import numpy as np
 import pytest
 
 from citeloom.llm import suffix_dedup as S
@@ -26,13 +29,14 @@ def brute(rows, least):
     return out
 
 
-@pytest.mark.parametrize("least,limit", [(50, S.BLOCK_BYTES), (50, 4000), (8, 4000)])
-def test_spans_equal_brute_force(docs, monkeypatch, least, limit):
+@pytest.mark.parametrize("least,limit,fan", [(50, S.BLOCK_BYTES, None), (50, 4000, 3), (8, 4000, None), (25, 9000, 2)])
+def test_spans_equal_brute_force(docs, monkeypatch, least, limit, fan):
     monkeypatch.setattr(S, "BLOCK_BYTES", limit)
     monkeypatch.setattr(S, "PART_KEYS", 500)
+    monkeypatch.setattr(S, "NODE_RECORDS", 40)
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     want = brute(rows, least)
-    got = S.repeats(docs, least).collect()
+    got = S.repeats(docs, least, fan=fan).collect()
     assert len(got) == len(rows)
     texts = dict(rows)
     for r in got:
@@ -44,6 +48,41 @@ def test_spans_equal_brute_force(docs, monkeypatch, least, limit):
     assert any(r.n_cut for r in got) and any(0 < r.n_cut < r.n_words for r in got)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_windows_of_suffixes_equal_all_pairs(seed):
+    r = random.Random(seed)
+    least, gram = 9, 4
+    texts = [[r.choice("abc") for _ in range(40)] for _ in range(12)]
+    for k in range(1, 12):
+        a, b = r.randrange(25), r.randrange(25)
+        texts[k][b : b + 14] = texts[r.randrange(k)][a : a + 14]
+    items = [(t, p) for t in range(12) for p in range(40 - gram)]
+    num = {c: i for i, c in enumerate("abc")}
+    right, left = np.full((len(items), least), -1, np.int32), np.full((len(items), least - gram), -1, np.int32)
+    has = np.zeros((len(items), least - gram + 1), bool)
+    for i, (t, p) in enumerate(items):
+        w = [num[c] for c in texts[t]]
+        x, y = w[p : p + least], w[max(0, p - least + gram) : p][::-1]
+        right[i, : len(x)], left[i, : len(y)] = x, y
+        for o in range(least - gram + 1):
+            has[i, o] = p - o >= 0 and p - o + least <= 40 and r.random() < 0.8
+    rank = np.array(r.sample(range(len(items)), len(items)))
+    got = S.repeated(right, left, has, rank, least)
+    for i, (t, p) in enumerate(items):
+        for o in np.flatnonzero(has[i]):
+            same = [j for j, (u, q) in enumerate(items) if has[j, o] and texts[u][q - o : q - o + least] == texts[t][p - o : p - o + least]]
+            assert got[i, o] == (min(rank[j] for j in same) < rank[i])
+
+
+def test_equal_hashes_of_other_words_are_not_cut(spark, monkeypatch):
+    monkeypatch.setattr(S, "grams", lambda h, n: np.full(len(h), 7, np.uint64))
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(60)), "en", "s", 0) for i in range(6)]
+    rows.append((6, rows[2][1], "en", "s", 0))
+    monkeypatch.setattr(S, "BLOCK_BYTES", 900)
+    got = {r.doc_id: r.n_cut for r in S.repeats(frame(spark, rows).coalesce(1)).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 0, 4: 0, 5: 0, 6: 60}
+
+
 def test_a_shared_passage_stays_once(spark):
     passage = " ".join(f"p{i}" for i in range(60))
     rows = [(i, f"start{i} {passage} end{i}", "en", "s", 0) for i in range(40)]
