@@ -153,7 +153,12 @@ def materialize(df: DataFrame, name: str = "t", done: tuple[DataFrame, ...] = ()
 
 
 def forget_shuffles(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of finished jobs now: it does so when the JVM collects their plans."""
+    """Let Spark remove the shuffle files of finished jobs now, not when its memory is full.
+
+    It does so when the JVM collects their plans; the last job's is only let go by the next, so an empty
+    one runs first.
+    """
+    spark.range(1).collect()
     spark.sparkContext._jvm.System.gc()
 
 

@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import forget_shuffles, materialize, tidy
+from citeloom.llm.common import forget_shuffles, materialize
 
 FAN = 4096
 
@@ -45,6 +45,15 @@ def get_sorted(b: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
+def put_planes(x: np.ndarray) -> bytes:
+    """Numbers below 2**32, small ones mostly, as byte planes."""
+    return put(x.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+
+
+def get_planes(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(get(b, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
 def packed(x: np.ndarray) -> bytes:
     """An array of numbers: floats as they are, others (not negative) in as few bytes as the largest needs."""
     if x.dtype.kind == "f":
@@ -197,6 +206,3 @@ def opened(rows: pa.Table) -> tuple[dict, dict[int, list[np.ndarray]]]:
         by_kind.setdefault(r["kind"], []).append(r)
     told = {k: [np.concatenate(x) for x in zip(*[[unpacked(v) for v in r["told"]] for r in rs])] for k, rs in by_kind.items()}
     return next(r for r in found if r["kind"] == 0), told
-
-
-__all__ = ["ANSWER", "FAN", "QUESTION", "Tree", "ask", "counts_of", "exchange", "get", "get_sorted", "messages", "opened", "packed", "put", "put_sorted", "tidy", "unpacked", "with_answers"]

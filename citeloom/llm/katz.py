@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.llm.common import Words, forget_shuffles, materialize, mix64, pieces_of, tidy, utf8
-from citeloom.llm.exchange import QUESTION, Tree, ask, counts_of, exchange, get, get_sorted, messages, opened, put, put_sorted, with_answers
+from citeloom.llm.exchange import QUESTION, Tree, ask, counts_of, exchange, get, get_planes, get_sorted, messages, opened, put, put_planes, put_sorted, with_answers
 
 END = np.uint64(0x2545F4914F6CDD1D)
 START = np.uint64(0x9E6C63D0876A9A47)
@@ -50,17 +50,18 @@ def held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % HELD_OUT_OF == HELD_OUT
 
 
-BLOCKS = "block long, ids binary, known_ids binary, lengths binary, words binary, tokens binary"
+BLOCKS = "block long, ids binary, known_ids binary, lengths binary, words binary, frequent binary, tokens binary"
 
 
 def blocks(docs: DataFrame) -> DataFrame:
-    """One row for each block: ids, token counts, its distinct word hashes and each token's place among them."""
+    """One row for each block: ids, token counts, its distinct word hashes, their places by frequency and each token's rank."""
 
     def block(number, ids, hashed):
-        flat = np.concatenate(hashed)
-        words, at = np.unique(flat, return_inverse=True)
-        kind = np.uint16 if len(words) < 1 << 16 else np.uint32
-        row = [number, put(np.array([i or 0 for i in ids], np.int64)), put(np.array([i is not None for i in ids])), put(np.array([len(h) for h in hashed], np.int64)), put_sorted(words), bytes([np.dtype(kind).itemsize]) + put(at.astype(kind))]
+        words, at, count = np.unique(np.concatenate(hashed), return_inverse=True, return_counts=True)
+        frequent = np.argsort(-count, kind="stable")  # tokens as ranks: small numbers pack well
+        rank = np.empty_like(frequent)
+        rank[frequent] = np.arange(len(frequent))
+        row = [number, put(np.array([i or 0 for i in ids], np.int64)), put(np.array([i is not None for i in ids])), put(np.array([len(h) for h in hashed], np.int64)), put_sorted(words), put_planes(frequent), put_planes(rank[at])]
         return pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int64()), *[pa.array([x], pa.binary()) for x in row[1:]]], names=[x.split()[0] for x in BLOCKS.split(", ")])
 
     def run(batches):
@@ -105,7 +106,7 @@ class Block:
         self.lengths = get(row["lengths"], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
         words = get_sorted(row["words"])
-        tokens = get(row["tokens"][1:], np.uint16 if row["tokens"][0] == 2 else np.uint32).astype(np.int64)
+        tokens = get_planes(row["frequent"])[get_planes(row["tokens"])]
         self.held = np.array([held_out(i) for i in self.ids])
         self.train = np.repeat(~self.held, self.lengths)
         self.orders = [Order(words, tokens)]
@@ -348,7 +349,8 @@ def score(docs: DataFrame, order: int = ORDER, fan: int | None = None) -> DataFr
         if m <= order:
             said = counts_of(answers[-1], K + 3)
             model.add(said.get(COUNT + m, [0] * (K + 3)), said.get(ALONE + m, [0])[0])
-    forget_shuffles(docs.sparkSession)
+        del asked
+        forget_shuffles(docs.sparkSession)
     return _scores(table, answers, model, order)
 
 
