@@ -55,9 +55,10 @@ def get_planes(b: bytes) -> np.ndarray:
 
 
 def packed(x: np.ndarray) -> bytes:
-    """An array of numbers: floats as they are, others (not negative) in as few bytes as the largest needs."""
+    """An array of numbers: floats as byte planes, to 36 binary digits (ten decimal ones), others (not negative) in as few bytes as the largest needs."""
     if x.dtype.kind == "f":
-        return b"f" + x.dtype.itemsize.to_bytes(1, "big") + put(x)
+        bits = np.ascontiguousarray(x, "<f8").view(np.uint64) & np.uint64(0xFFFFFFFFFFFF0000)
+        return b"f" + put(bits.view(np.uint8).reshape(-1, 8).T)
     most = int(x.max()) if len(x) else 0
     kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if most <= np.iinfo(k).max)
     return b"u" + np.dtype(kind).itemsize.to_bytes(1, "big") + put(x.astype(kind))
@@ -65,7 +66,7 @@ def packed(x: np.ndarray) -> bytes:
 
 def unpacked(b: bytes) -> np.ndarray:
     if b[:1] == b"f":
-        return get(b[2:], f"<f{b[1]}")
+        return np.ascontiguousarray(get(b[1:], np.uint8).reshape(8, -1).T).view("<f8").ravel()
     return get(b[2:], f"<u{b[1]}").astype(np.int64)
 
 

@@ -9,8 +9,9 @@ Documents are dealt to blocks of about a million tokens. A block asks for what i
 distinct n-gram it holds, as arrays of 64-bit hashes (`exchange`): so counts and weights are partitioned
 tables of compact arrays, every n-gram travels once for each block that holds it rather than once for
 each token, and hot words cost no more than rare ones. Rounds: counts of words; counts of pairs; weights
-of words as histories, with the counts of triples; weights of pairs; scores. A history that stands once
-in all documents, in training, has one successor; its block knows all there is to know and asks nothing.
+of words as histories, with the counts of triples; weights of pairs; scores. Where a word or pair stands once
+in all documents, in training, so does every longer n-gram with it, and as a history it has one successor:
+its block knows all there is to know of them and asks nothing.
 
 Defined results: a null or empty text is its end token alone; without training rows every text's score
 is that of unknown words, 0; rows without an id are training rows; repeated rows are learned and scored
@@ -144,7 +145,11 @@ class Block:
     def asked(self, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Which n-grams of order m are asked for, and how often each stands in training and in other documents."""
         o = self.orders[m - 1]
-        o.alone = np.zeros(len(o.hashes), bool) if m == 1 else self.alone_histories(m)[o.history]
+        if m > 1 and o.alone is None:
+            alone = self.alone_histories(m)  # an n-gram of which a part stands once stands once
+            o.alone = alone[o.history] | alone[o.lower]
+        elif m == 1:
+            o.alone = np.zeros(len(o.hashes), bool)
         n = len(o.hashes)
         return ~o.alone, np.bincount(o.token[self.train], minlength=n), np.bincount(o.token[~self.train], minlength=n)
 
