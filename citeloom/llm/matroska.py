@@ -299,8 +299,8 @@ def packets(media: DataFrame, column: str = "media", with_data: bool = False) ->
 
             def taken() -> pa.RecordBatch:
                 cols = list(zip(*rows)) if rows else [()] * len(added)
-                kept = batch.take(pa.array(origin, pa.int64()))
-                return pa.RecordBatch.from_arrays([*[kept.column(c) for c in keep], *[pa.array(c, kinds[k]) for c, k in zip(cols, added.values())]], names=[*keep, *added])
+                of = pa.array(origin, pa.int64())  # not of the file, which would be copied for each packet
+                return pa.RecordBatch.from_arrays([*[batch.column(c).take(of) for c in keep], *[pa.array(c, kinds[k]) for c, k in zip(cols, added.values())]], names=[*keep, *added])
 
             for i, blob in enumerate(batch.column(column)):
                 data = blob.as_py() or b""
