@@ -130,8 +130,8 @@ def mentions(docs: DataFrame, text: str = "text", families: tuple[G.Family, ...]
             origin, cols = [], [[] for _ in added]
 
             def taken() -> pa.RecordBatch:
-                kept = batch.take(pa.array(origin, pa.int64()))
-                return pa.RecordBatch.from_arrays([*[kept.column(c) for c in keep], *[pa.array(c, k) for c, k in zip(cols, kinds)]], names=[*keep, *added])
+                rows = pa.array(origin, pa.int64())  # not of the text, which would be copied for each mention
+                return pa.RecordBatch.from_arrays([*[batch.column(c).take(rows) for c in keep], *[pa.array(c, k) for c, k in zip(cols, kinds)]], names=[*keep, *added])
 
             for i, t in enumerate(batch.column(text).to_pylist()):
                 if not t:
