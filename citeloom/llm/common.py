@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 _serial = itertools.count()
+_tables: list[str] = []
 
 
 def tidy(run):
@@ -146,9 +147,27 @@ def materialize(df: DataFrame, name: str = "t", done: tuple[DataFrame, ...] = ()
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
+    _drop(spark, done)
+    return out
+
+
+def _drop(spark: SparkSession, done: tuple[DataFrame, ...]) -> None:
     for x in done:
         if getattr(x, "_written", None):
             _delete(spark, x._written)
+
+
+def materialize_dealt(df: DataFrame, key: str, n: int, name: str = "t", done: tuple[DataFrame, ...] = ()) -> DataFrame:
+    """As materialize(), dealt to n buckets by a hash of `key`: grouping by it, or a union of such tables, shuffles nothing again."""
+    spark = df.sparkSession
+    serial = f"{name}_{next(_serial)}_{uuid.uuid4().hex[:8]}"
+    path, table = f"{_root(spark)}/{serial}", f"citeloom_{serial}"
+    dealt = df.repartition(n, key).write.bucketBy(n, key).option("compression", "zstd").option("path", path)
+    dealt.saveAsTable(table, format="parquet")
+    _tables.append(table)
+    out = spark.table(table)
+    out._written = path
+    _drop(spark, done)
     return out
 
 
@@ -169,7 +188,9 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Delete everything that materialize() wrote for this application."""
+    """Delete everything that materialize() and materialize_dealt() wrote for this application."""
+    while _tables:
+        spark.sql(f"drop table if exists {_tables.pop()}")
     _delete(spark, _root(spark))
 
 

@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import forget_shuffles, materialize
+from citeloom.llm.common import forget_shuffles, materialize, materialize_dealt
 
 FAN = 4096
 
@@ -141,18 +141,19 @@ def _merge(ranges: int):
     return merge
 
 
-def exchange(questions: DataFrame, tree: Tree, solve: Callable[[int, list[np.ndarray]], list[np.ndarray]], askers: int, owners: bool = False, stats: Callable[[list[np.ndarray]], list[int]] | None = None, name: str = "answers") -> DataFrame:
+def exchange(questions: DataFrame, tree: Tree, solve: Callable[[int, list[np.ndarray]], list[np.ndarray]], askers: int, owners: bool = False, stats: Callable[[list[np.ndarray]], list[int]] | None = None, name: str = "answers", buckets: int | None = None) -> DataFrame:
     """Answers (asker, kind, part, told) to questions asked of the tree's first level, in the order of each question.
 
     solve(kind, sums) gives one number or more for each key from the sums of what was said. With owners,
     a last array tells which of the keys that were said more than 0 the asker owns: each key has one
-    owner. With stats, rows of asker -1 hold numbers that each part made of its sums.
+    owner. With stats, rows of askers below 0 hold numbers that each part made of its sums. With buckets,
+    the answers lie dealt to as many by a hash of the asker.
     """
     levels = [questions]
     for level in range(tree.levels - 1):  # nodes merge the questions of up to `fan` askers and ask on
         groups = max(1, -(-askers // tree.fan))
         dealt = levels[-1].withColumn("node", F.col("part") * groups + F.pmod(F.xxhash64("asker"), F.lit(groups)))
-        dealt = materialize(dealt, f"{name}-asked{level}")
+        dealt = materialize(dealt, f"{name}_asked{level}")
         levels[-1] = dealt
         levels.append(dealt.groupBy("kind", "node").applyInArrow(_merge(tree.ranges(level + 1)), QUESTION))
         askers = groups * tree.ranges(level)
@@ -162,11 +163,14 @@ def exchange(questions: DataFrame, tree: Tree, solve: Callable[[int, list[np.nda
         g = Gathered(rows)
         out = g.answers(rows[0]["part"], solve(rows[0]["kind"], g.sums), np.ones(len(g.keys), bool) if owners else None)
         if stats:
-            out.append((-1, rows[0]["kind"], rows[0]["part"], [np.array(stats(g.sums), ">i8").tobytes()]))
+            out.append((-1 - rows[0]["part"], rows[0]["kind"], rows[0]["part"], [np.array(stats(g.sums), ">i8").tobytes()]))
         return pa.Table.from_batches([messages(ANSWER, out)])
 
-    answers = materialize(levels[-1].groupBy("kind", "part").applyInArrow(answer, ANSWER), name)
-    numbers = answers.filter("asker < 0")
+    def written(table: DataFrame, level: int, name: str) -> DataFrame:
+        return materialize_dealt(table, "asker", buckets, name) if buckets and level == 0 else materialize(table, name)
+
+    answers = written(levels[-1].groupBy("kind", "part").applyInArrow(answer, ANSWER), tree.levels - 1, name)
+    numbers = answers.filter("asker < 0") if stats else None
     for level in reversed(range(tree.levels - 1)):  # answers go down: a node's own, told on to its askers
         dealt = levels[level]
 
@@ -180,9 +184,12 @@ def exchange(questions: DataFrame, tree: Tree, solve: Callable[[int, list[np.nda
             return pa.Table.from_batches([messages(ANSWER, g.answers(asked.column("part")[0].as_py(), arrays, own))])
 
         mine = answers.filter("asker >= 0").withColumnRenamed("asker", "node")
-        answers = materialize(dealt.groupBy("kind", "node").cogroup(mine.groupBy("kind", "node")).applyInArrow(hand_down, ANSWER), f"{name}-told{level}")
+        down = dealt.groupBy("kind", "node").cogroup(mine.groupBy("kind", "node")).applyInArrow(hand_down, ANSWER)
+        if numbers is not None and level == 0:
+            down = down.unionByName(numbers)
+        answers = written(down, level, f"{name}_told{level}")
     forget_shuffles(questions.sparkSession)
-    return answers if tree.levels == 1 else answers.filter("asker >= 0").unionByName(numbers)
+    return answers
 
 
 def counts_of(answers: DataFrame, n: int) -> dict[int, list[int]]:

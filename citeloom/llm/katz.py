@@ -11,7 +11,8 @@ tables of compact arrays, every n-gram travels once for each block that holds it
 each token, and hot words cost no more than rare ones. Rounds: counts of words; counts of pairs; weights
 of words as histories, with the counts of triples; weights of pairs; scores. Where a word or pair stands once
 in all documents, in training, so does every longer n-gram with it, and as a history it has one successor:
-its block knows all there is to know of them and asks nothing.
+its block knows all there is to know of them and asks nothing. Blocks and answers lie in buckets of
+blocks, so that an answer moves once, to its block, and the tokens move once in all.
 
 Defined results: a null or empty text is its end token alone; without training rows every text's score
 is that of unknown words, 0; rows without an id are training rows; repeated rows are learned and scored
@@ -24,6 +25,7 @@ history whose counts are all undiscounted keeps 1 / (c(h) + 1) for the rest.
 from __future__ import annotations
 
 import zlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +33,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import Words, forget_shuffles, materialize, mix64, pieces_of, tidy, utf8
-from citeloom.llm.exchange import QUESTION, Tree, ask, counts_of, exchange, get, get_planes, get_sorted, messages, opened, put, put_planes, put_sorted, with_answers
+from citeloom.llm.common import Words, forget_shuffles, materialize, materialize_dealt, mix64, pieces_of, tidy, utf8
+from citeloom.llm.exchange import ANSWER, QUESTION, Tree, ask, counts_of, exchange, get, get_planes, get_sorted, messages, opened, put, put_planes, put_sorted
 
 END = np.uint64(0x2545F4914F6CDD1D)
 START = np.uint64(0x9E6C63D0876A9A47)
@@ -40,6 +42,8 @@ HELD_OUT_OF, HELD_OUT = 7, 2
 ORDER = 3
 BLOCK_TOKENS = 1_000_000
 PART_KEYS = 3_000_000
+#: As many as Spark allows a table.
+MOST_BUCKETS = 100_000
 K = 5
 #: Kinds of questions: counts of order m, its weights, and how many n-grams blocks know without asking.
 COUNT, WEIGHT, ALONE = 0, 100, 200
@@ -51,19 +55,21 @@ def held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % HELD_OUT_OF == HELD_OUT
 
 
-BLOCKS = "block long, ids binary, known_ids binary, lengths binary, words binary, frequent binary, tokens binary"
-
-
 def blocks(docs: DataFrame) -> DataFrame:
-    """One row for each block: ids, token counts, its distinct word hashes, their places by frequency and each token's rank."""
+    """One row for each block, in the form of an answer of kind 0.
+
+    It is told ids, which of them are known, token counts, its distinct word hashes, their places by
+    frequency and each token's rank.
+    """
 
     def block(number, ids, hashed):
         words, at, count = np.unique(np.concatenate(hashed), return_inverse=True, return_counts=True)
         frequent = np.argsort(-count, kind="stable")  # tokens as ranks: small numbers pack well
         rank = np.empty_like(frequent)
         rank[frequent] = np.arange(len(frequent))
-        row = [number, put(np.array([i or 0 for i in ids], np.int64)), put(np.array([i is not None for i in ids])), put(np.array([len(h) for h in hashed], np.int64)), put_sorted(words), put_planes(frequent), put_planes(rank[at])]
-        return pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int64()), *[pa.array([x], pa.binary()) for x in row[1:]]], names=[x.split()[0] for x in BLOCKS.split(", ")])
+        own, known = np.array([i or 0 for i in ids], np.int64), np.array([i is not None for i in ids])
+        told = [put(own), put(known), put(np.array([len(h) for h in hashed], np.int64)), put_sorted(words), put_planes(frequent), put_planes(rank[at])]
+        return messages(ANSWER, [(number, 0, 0, told)])
 
     def run(batches):
         first = TaskContext.get().partitionId() << 24
@@ -82,7 +88,7 @@ def blocks(docs: DataFrame) -> DataFrame:
         if ids:
             yield block(first + n, ids, hashed)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), BLOCKS)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), ANSWER)
 
 
 class Order:
@@ -101,13 +107,13 @@ class Block:
     """A block's tokens and their n-grams."""
 
     def __init__(self, row: dict):
-        self.number = row["block"]
-        ids, known = get(row["ids"], np.int64), get(row["known_ids"], np.bool_)
+        self.number = row["asker"]
+        ids, known, lengths, words, frequent, tokens = row["told"]
+        ids, known = get(ids, np.int64), get(known, np.bool_)
         self.ids = [int(i) if k else None for i, k in zip(ids, known)]
-        self.lengths = get(row["lengths"], np.int64)
+        self.lengths = get(lengths, np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
-        words = get_sorted(row["words"])
-        tokens = get_planes(row["frequent"])[get_planes(row["tokens"])]
+        words, tokens = get_sorted(words), get_planes(frequent)[get_planes(tokens)]
         self.held = np.array([held_out(i) for i in self.ids])
         self.train = np.repeat(~self.held, self.lengths)
         self.orders = [Order(words, tokens)]
@@ -313,7 +319,7 @@ def _scores(table: DataFrame, answers: list[DataFrame], model: Model, order: int
         cols = [pa.array(b.ids, pa.int64()), pa.array(b.held), pa.array(b.lengths), pa.array(sums[0]), pa.array(np.full(n, model.n)), pa.array(sums[1]), pa.array(sums[2])]
         return pa.Table.from_arrays(cols, names=[x.split()[0] for x in SCORES.split(", ")])
 
-    return with_answers(table, *answers).applyInArrow(run, SCORES)
+    return _with_answers(table, answers).applyInArrow(run, SCORES)
 
 
 def _questions(table: DataFrame, answers: list[DataFrame], model: Model, tree: Tree, order: int, m: int) -> DataFrame:
@@ -330,7 +336,7 @@ def _questions(table: DataFrame, answers: list[DataFrame], model: Model, tree: T
             out += _weight_question(b, model, m - 1, probabilities(b, model, m - 2, found), tree)
         return pa.Table.from_batches([messages(QUESTION, out)])
 
-    return with_answers(table, *answers).applyInArrow(run, QUESTION)
+    return _with_answers(table, answers).applyInArrow(run, QUESTION)
 
 
 def _first_questions(table: DataFrame, tree: Tree) -> DataFrame:
@@ -342,15 +348,29 @@ def _first_questions(table: DataFrame, tree: Tree) -> DataFrame:
     return table.mapInArrow(tidy(run), QUESTION)
 
 
+def _with_answers(table: DataFrame, answers: list[DataFrame]):
+    """Blocks with the answers to them: all lie in the same buckets and have the same columns, so no row moves."""
+    return reduce(DataFrame.union, [a.filter("asker >= 0") for a in answers], table).groupBy("asker")
+
+
+def _dealt(table: DataFrame, buckets: int) -> DataFrame:
+    """The blocks in buckets; their first table goes, and what wrote the second."""
+    out = materialize_dealt(table, "asker", buckets, "dealt", done=(table,))
+    forget_shuffles(table.sparkSession)
+    return out
+
+
 def score(docs: DataFrame, order: int = ORDER, fan: int | None = None) -> DataFrame:
     """Scores of all documents by the model of those that are not held out."""
     table = materialize(blocks(docs), "blocks")
     n = table.count()
+    buckets = min(max(n, 1), MOST_BUCKETS)
+    table = _dealt(table, buckets)
     tree = Tree(max(1, -(-n * BLOCK_TOKENS // PART_KEYS)), fan)
     model, answers = Model(), []
     for m in range(1, order + (2 if order > 1 else 1)):
         asked = _first_questions(table, tree) if m == 1 else _questions(table, answers, model, tree, order, m)
-        answers.append(exchange(asked, tree, _solve, n, owners=True, stats=_stats, name=f"round{m}"))
+        answers.append(exchange(asked, tree, _solve, n, owners=True, stats=_stats, name=f"round{m}", buckets=buckets))
         if m <= order:
             said = counts_of(answers[-1], K + 3)
             model.add(said.get(COUNT + m, [0] * (K + 3)), said.get(ALONE + m, [0])[0])
