@@ -167,7 +167,11 @@ def exchange(questions: DataFrame, tree: Tree, solve: Callable[[int, list[np.nda
         return pa.Table.from_batches([messages(ANSWER, out)])
 
     def written(table: DataFrame, level: int, name: str) -> DataFrame:
-        return materialize_dealt(table, "asker", buckets, name) if buckets and level == 0 else materialize(table, name)
+        out = materialize(table, name)
+        if not buckets or level:
+            return out
+        forget_shuffles(out.sparkSession)  # the questions go before the answers are dealt
+        return materialize_dealt(out, "asker", buckets, name, done=(out,))
 
     answers = written(levels[-1].groupBy("kind", "part").applyInArrow(answer, ANSWER), tree.levels - 1, name)
     numbers = answers.filter("asker < 0") if stats else None
