@@ -232,13 +232,14 @@ class Model:
         return np.where(count > 0, p, self.unknown)
 
 
-def weights(count: np.ndarray, missing: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """a(h) from c(h), what the discounts took, and the lower probability of its successors; negative where nothing was taken."""
-    safe = np.maximum(count, 1)
-    full = (missing <= 1e-9 * safe) & (count > 0)
-    left = np.where(full, 1 / (safe + 1), missing / safe)
-    out = left / np.maximum(1 - p, 1e-12)
-    return np.where(count > 0, np.where(full, -out, out), 1.0)
+def shares(missing: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """For each history what the discounts took, over what its successors leave of the lower probability; negative, as if 1, where nothing was taken."""
+    return np.where(missing > 0, missing, -1.0) / np.maximum(1 - p, 1e-12)
+
+
+def weights(count: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """a(h) from c(h) and its share; negative where nothing was taken, 1 for histories not seen."""
+    return np.where(count > 0, share / np.where(share < 0, count + 1, np.maximum(count, 1)), 1.0)
 
 
 def probabilities(b: Block, model: Model, m: int, found: dict[int, list[np.ndarray]]) -> np.ndarray:
@@ -271,25 +272,24 @@ def _asked_histories(b: Block, m: int) -> np.ndarray:
 
 def _all_weights(b: Block, model: Model, m: int, lower: np.ndarray, told: np.ndarray | None) -> np.ndarray:
     missing, p = _sums(b, model, m, lower)
-    out = weights(np.where(b.alone_histories(m), b.count_of_histories(m), 0), missing, p)
+    count, share = np.where(b.alone_histories(m), b.count_of_histories(m), 0), shares(missing, p)
     if told is not None:
-        out[_asked_histories(b, m)] = told
-    return out
+        at = _asked_histories(b, m)
+        count[at], share[at] = b.count_of_histories(m)[at], told
+    return weights(count, share)
 
 
 def _weight_question(b: Block, model: Model, m: int, lower: np.ndarray, tree: Tree) -> list[tuple]:
     missing, p = _sums(b, model, m, lower)
     at = _asked_histories(b, m)
-    # the count goes along once for each history, from the block that owns the most: all say it, the part divides
-    one = np.ones(len(at), np.int64)
-    return ask(WEIGHT + m, b.number, tree.first, b.histories(m)[at], one, b.count_of_histories(m)[at], missing[at], p[at])
+    return ask(WEIGHT + m, b.number, tree.first, b.histories(m)[at], missing[at], p[at])
 
 
 def _solve(kind: int, sums: list[np.ndarray]) -> list[np.ndarray]:
     if kind >= ALONE:
         return [sums[0]]
     if kind >= WEIGHT:
-        return [weights(sums[1] // sums[0], sums[2], sums[3])]
+        return [shares(sums[0], sums[1])]
     return [sums[0] << 1 | (sums[1] > 0)]
 
 
