@@ -64,7 +64,7 @@ FAMILIES = (
     Family("P30", "non_authority", rf"(?<![\w.])(?:R\. at {PAGES}|Appx ?[0-9]+|(?:Blue|Red|Gray|Yellow) Br\.(?: at {PAGES})?|(?:Appellant|Appellee|Petitioner|Respondent)s?['’]s? Br\.(?: at {PAGES})?)", r"R\. at|Appx|Br\."),
     Family("P01", "case", rf"(?<![\w.]){NOT_A_PARTY}{PARTY} v\. {PARTY},\s+[0-9]+\s+{REP}\s+[0-9]+{STOP}(?:, {PIN})?(?:\s+\((?:[^()]*\s)?[0-9]{{4}}\))?", r" v\. "),
     Family("P02", "case", rf"(?<![\w.])(?:{NOT_A_PARTY}{PARTY} v\. {PARTY},\s+(?:No\. [\w:-]+,\s+)?)?[0-9]{{4}}\s+(?:WL|U\.S\. Dist\. LEXIS|U\.S\. App\. LEXIS)\s+[0-9]+(?:, at \*[0-9]+)?(?:\s+\([^()]*[0-9]{{4}}\))?", r" WL | LEXIS "),
-    Family("P03", "case", r"(?<![\w.])(?:(?:IPR|PGR|CBM)20[0-9]{2}-[0-9]{5}|[0-9]+ (?:F\.T\.C\.|S\.E\.C\.|F\.C\.C\. ?R(?:cd|ec)\.?|F\.C\.C\.2d) [0-9]+)", r"IPR|PGR|CBM|F\.T\.C\.|S\.E\.C\.|F\.C\.C\."),
+    Family("P03", "case", r"(?<![\w.])(?:(?:IPR|PGR|CBM)20[0-9]{2}-[0-9]{5,}|[0-9]+ (?:F\.T\.C\.|S\.E\.C\.|F\.C\.C\. ?R(?:cd|ec)\.?|F\.C\.C\.2d) [0-9]+)", r"IPR|PGR|CBM|F\.T\.C\.|S\.E\.C\.|F\.C\.C\."),
     Family("P04", "case", r"(?<![\w.])(?:ECLI:[A-Z]{2}:[A-Z0-9]+:[0-9]{4}:[A-Z0-9.]+|Case [CT]-[0-9]+/[0-9]{2})", r"ECLI:|Case [CT]-"),
     Family("P05", "case", r"(?<![\w.])App(?:lication)?\. [Nn]os?\. [0-9]+/[0-9]{2}", r"App"),
     Family("P06", "constitutional", r"(?<![\w.])U\.S\. Const\. (?:art\. [IVX]+|amend\. [IVX]+)(?:, § [0-9]+)?(?:, cl\. [0-9]+)?", r"U\.S\. Const\."),

@@ -4,6 +4,7 @@ import io
 import json
 import zipfile
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -408,3 +409,13 @@ def test_report_json_leaves_out_what_is_not_set(spark):
     got = json.loads(sinks.check_json(checks, "t").collect()[0].json)
     assert got["document"] == {"id": 1} and [set(c) for c in got["citations"]] == [{"id", "doc_index", "citation", "source", "support"}] * 2
     assert got["citations"][1]["support"] == {"note": "why"} and got["citations"][0]["citation"] == {"full_text": "A"}
+
+
+def test_numbers_of_agency_decisions_are_whole(spark, tmp_path):
+    spark.range(1).selectExpr("explode(array(0L, 89999L, 90000L, 5000000000L)) AS p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    want = con.execute(registry.oracle_sql()["cite_agency_foreign"]).fetchall()
+    assert sorted(tuple(r) for r in registry.queries()["cite_agency_foreign"](spark, str(tmp_path)).collect()) == sorted(want)
+    cut = E.mentions(spark.createDataFrame([(1, "PGR2020-123456 (PTAB 2020). CBM2014-00123.")], "doc_id long, text string"))
+    assert [r.full_citation for r in cut.orderBy("idx").collect()] == ["PGR2020-123456", "CBM2014-00123"]
