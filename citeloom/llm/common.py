@@ -52,6 +52,42 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct ones of 64-bit hashes, ascending; each hash's place among them; positions by hash, then in order; where each distinct one begins there.
+
+    Positions replace the last digits of the hashes, spread over all 64, so numbers are sorted, which is
+    several times faster than sorting positions. The few hashes that agree in all other digits are then put
+    right; if they are not few, positions are sorted.
+    """
+    n = len(x)
+    if not n:
+        return x, *[np.empty(0, np.int64)] * 3
+    low, digits = x.min(), np.uint64(n.bit_length())
+    spread = np.uint64(64 - int(x.max() - low).bit_length())
+    sorted_ = ((x - low) << spread) if spread < 64 else np.zeros(n, np.uint64)
+    sorted_ >>= digits
+    sorted_ <<= digits
+    sorted_ |= np.arange(n, dtype=np.uint64)
+    sorted_.sort()
+    order = (sorted_ & ((np.uint64(1) << digits) - np.uint64(1))).view(np.int64)
+    values = x[order]
+    wrong = np.flatnonzero(values[1:] < values[:-1])
+    if len(wrong) > n // 256:
+        order = np.argsort(x, kind="stable")
+        values = x[order]
+    elif len(wrong):
+        sorted_ >>= digits
+        for digit in np.unique(sorted_[wrong]):
+            i, j = np.searchsorted(sorted_, digit), np.searchsorted(sorted_, digit, "right")
+            order[i:j] = order[i:j][np.argsort(values[i:j], kind="stable")]
+            values[i:j] = x[order[i:j]]
+    new = np.ones(n, bool)
+    np.not_equal(values[1:], values[:-1], out=new[1:])
+    starts, place = np.flatnonzero(new), np.empty(n, np.int64)
+    place[order] = np.cumsum(new) - 1
+    return values[starts], place, order, starts
+
+
 def shingle_hashes(h: np.ndarray, n: int) -> np.ndarray:
     """64-bit hash of every run of n words (of the whole sequence if it is shorter)."""
     n = min(n, len(h))

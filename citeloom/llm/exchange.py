@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import forget_shuffles, materialize, materialize_dealt
+from citeloom.llm.common import distinct, forget_shuffles, materialize, materialize_dealt
 
 FAN = 4096
 
@@ -109,7 +109,7 @@ class Gathered:
         self.rows = sorted(rows, key=lambda r: r["asker"])
         keys = [get_sorted(r["keys"]) for r in self.rows]
         self.starts = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
-        self.keys, self.at = np.unique(np.concatenate(keys), return_inverse=True)
+        self.keys, self.at, self.order, _ = distinct(np.concatenate(keys))
         said = [np.concatenate(x) for x in zip(*[[unpacked(v) for v in r["said"]] for r in self.rows])]
         self.first = said[0]
         self.sums = [self._sum(x) for x in said]
@@ -123,8 +123,8 @@ class Gathered:
         out = []
         owner = np.zeros(len(self.at), np.uint8)
         if own is not None:
-            seen = np.flatnonzero(self.first)
-            lead = seen[np.unique(self.at[seen], return_index=True)[1]]
+            seen = self.order[self.first[self.order] != 0]
+            lead = seen[np.diff(self.at[seen], prepend=-1) != 0]
             owner[lead[own[self.at[lead]]]] = 1
         for r, i, j in zip(self.rows, self.starts, self.starts[1:]):
             mine = [packed(t[self.at[i:j]]) for t in told] + ([packed(owner[i:j])] if own is not None else [])

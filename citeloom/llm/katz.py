@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import Words, forget_shuffles, materialize, materialize_dealt, mix64, pieces_of, tidy, utf8
+from citeloom.llm.common import Words, distinct, forget_shuffles, materialize, materialize_dealt, mix64, pieces_of, tidy, utf8
 from citeloom.llm.exchange import ANSWER, QUESTION, Tree, ask, counts_of, exchange, get, get_planes, get_sorted, messages, opened, put, put_planes, put_sorted
 
 END = np.uint64(0x2545F4914F6CDD1D)
@@ -63,8 +63,8 @@ def blocks(docs: DataFrame) -> DataFrame:
     """
 
     def block(number, ids, hashed):
-        words, at, count = np.unique(np.concatenate(hashed), return_inverse=True, return_counts=True)
-        frequent = np.argsort(-count, kind="stable")  # tokens as ranks: small numbers pack well
+        words, at, order, starts = distinct(np.concatenate(hashed))
+        frequent = np.argsort(-np.diff(starts, append=len(order)), kind="stable")  # tokens as ranks: small numbers pack well
         rank = np.empty_like(frequent)
         rank[frequent] = np.arange(len(frequent))
         own, known = np.array([i or 0 for i in ids], np.int64), np.array([i is not None for i in ids])
@@ -131,7 +131,8 @@ class Block:
         place[self.starts] = len(low.hashes)
         self.gram = mix64(context * _FACTOR + self.word)
         self.begin.append(mix64(np.array([self.begin[-1]]) * _FACTOR + START)[0])
-        hashes, first, token = np.unique(self.gram, return_index=True, return_inverse=True)
+        hashes, token, order, starts = distinct(self.gram)
+        first = order[starts]
         self.orders.append(Order(hashes, token, place[first], low.token[first]))
         return self.orders[-1]
 
@@ -148,20 +149,25 @@ class Block:
         low = self.orders[m - 2]
         return np.append((low.total == 1) & ~low.elsewhere, False)
 
-    def asked(self, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Which n-grams of order m are asked for, and how often each stands in training and in other documents."""
+    def asked(self, m: int) -> np.ndarray:
+        """Which n-grams of order m are asked for."""
         o = self.orders[m - 1]
         if m > 1 and o.alone is None:
             alone = self.alone_histories(m)  # an n-gram of which a part stands once stands once
             o.alone = alone[o.history] | alone[o.lower]
         elif m == 1:
             o.alone = np.zeros(len(o.hashes), bool)
+        return ~o.alone
+
+    def counted(self, m: int) -> tuple[np.ndarray, np.ndarray]:
+        """How often each n-gram of order m stands here in training and in other documents."""
+        o = self.orders[m - 1]
         n = len(o.hashes)
-        return ~o.alone, np.bincount(o.token[self.train], minlength=n), np.bincount(o.token[~self.train], minlength=n)
+        return np.bincount(o.token[self.train], minlength=n), np.bincount(o.token[~self.train], minlength=n)
 
     def told(self, m: int, answer: list[np.ndarray] | None) -> None:
         """Take the answer on order m: counts in training, whether it stands in other documents, and what this block owns."""
-        o, (asked, _, _) = self.orders[m - 1], self.asked(m)
+        o, asked = self.orders[m - 1], self.asked(m)
         o.total, o.elsewhere, o.owner = np.ones(len(o.hashes), np.int64), np.zeros(len(o.hashes), bool), np.ones(len(o.hashes), bool)
         if answer:
             o.total[asked], o.elsewhere[asked], o.owner[asked] = answer[0] >> 1, (answer[0] & 1).astype(bool), answer[1].astype(bool)
@@ -170,7 +176,7 @@ class Block:
 
 
 def _count_question(b: Block, m: int, tree: Tree) -> list[tuple]:
-    asked, train, other = b.asked(m)
+    asked, (train, other) = b.asked(m), b.counted(m)
     out = ask(COUNT + m, b.number, tree.first, b.orders[m - 1].hashes[asked], train[asked], other[asked])
     alone = int((~asked).sum())
     return out + ask(ALONE + m, b.number, tree.first, np.zeros(1, np.uint64), np.array([alone])) if alone else out
@@ -222,10 +228,7 @@ class Model:
 
     def discounted(self, count: np.ndarray, m: int) -> np.ndarray:
         d = self.discount[m - 1]
-        factor = np.ones(len(count))
-        low = count < len(d)
-        factor[low] = d[count[low]]
-        return factor * count
+        return np.append(d, 1.0)[np.minimum(count, len(d))] * count
 
     def word(self, count: np.ndarray) -> np.ndarray:
         p = self.discounted(count, 1) * self.scale / max(self.n, 1)
@@ -293,12 +296,12 @@ def _solve(kind: int, sums: list[np.ndarray]) -> list[np.ndarray]:
     return [sums[0] << 1 | (sums[1] > 0)]
 
 
-def _learn(b: Block, found: dict[int, list[np.ndarray]], most: int) -> None:
-    """Grow the block to order `most` and take all answers on counts that are there."""
+def _learn(b: Block, found: dict[int, list[np.ndarray]], most: int, answered: int) -> None:
+    """Grow the block to order `most` and take the answers on counts, which are there up to order `answered`."""
     for m in range(1, most + 1):
         if m > 1:
             b.grow()
-        if m < most or COUNT + m in found or m == 1 and found:
+        if m <= answered:
             b.told(m, found.get(COUNT + m))
 
 
@@ -309,8 +312,7 @@ def _scores(table: DataFrame, answers: list[DataFrame], model: Model, order: int
     def run(rows: pa.Table) -> pa.Table:
         row, found = opened(rows)
         b = Block(row)
-        _learn(b, found, order)
-        b.told(order, found.get(COUNT + order))
+        _learn(b, found, order, order)
         score = np.log10(probabilities(b, model, order, found))[b.orders[order - 1].token]
         count, token = b.orders[0].total, b.orders[0].token
         base = np.log10((count + 1) / (model.n + model.v + 1))[token]
@@ -328,11 +330,9 @@ def _questions(table: DataFrame, answers: list[DataFrame], model: Model, tree: T
     def run(rows: pa.Table) -> pa.Table:
         row, found = opened(rows)
         b = Block(row)
-        _learn(b, found, min(m, order))
+        _learn(b, found, min(m, order), m - 1)
         out = _count_question(b, m, tree) if m <= order else []
         if m > 2:
-            if m > order:
-                b.told(order, found.get(COUNT + order))
             out += _weight_question(b, model, m - 1, probabilities(b, model, m - 2, found), tree)
         return pa.Table.from_batches([messages(QUESTION, out)])
 

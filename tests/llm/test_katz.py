@@ -3,9 +3,12 @@ import zlib
 from collections import Counter, defaultdict
 from functools import lru_cache
 
+import numpy as np
 import pytest
 
 from citeloom.llm import katz
+from citeloom.llm.common import distinct, mix64
+from citeloom.llm.exchange import Gathered, packed, put, put_planes, put_sorted
 from tests.llm.conftest import corpus, frame
 
 
@@ -93,6 +96,44 @@ def test_edges(spark, empty):
     assert only.held_out and only.train_tokens == 0 and only.score == 0
 
 
+def hash_cases():
+    r = np.random.default_rng(3)
+    wide = mix64(r.integers(0, 700, 2000).astype(np.uint64))
+    top = np.uint64(2**64 - 1)
+    close = np.concatenate([wide, r.integers(0, 40, 500).astype(np.uint64) + np.uint64(2**63), np.array([0, top, 0, top], np.uint64)])
+    few = np.concatenate([mix64(np.arange(9000, dtype=np.uint64)), np.array([7, 5, 7, 6, 5], np.uint64) + np.uint64(2**63)])
+    return {"none": wide[:0], "one": wide[:1], "equal": np.full(9, top), "two": np.array([top, 0], np.uint64), "wide": wide, "close": r.permutation(close), "few": few, "narrow": wide >> np.uint64(50)}
+
+
+@pytest.mark.parametrize("case", list(hash_cases()))
+def test_distinct_equals_numpy(case):
+    x = hash_cases()[case]
+    values, first, place, count = np.unique(x, return_index=True, return_inverse=True, return_counts=True)
+    got, at, order, starts = distinct(x)
+    assert got.dtype == np.uint64 and (got == values).all() and (at == place).all()
+    assert (order[starts] == first).all() and (np.diff(starts, append=len(x)) == count).all()
+    assert (order == np.argsort(x, kind="stable")).all()
+
+
+def test_blocks_and_parts_sort_no_positions(monkeypatch):
+    """What made op4 exceed its CPU seconds: positions were sorted, in every round anew."""
+    r = np.random.default_rng(4)
+    words, n = np.unique(mix64(np.arange(1, 3001, dtype=np.uint64))), 40_000
+    rank = r.integers(0, len(words), n)
+    told = [put(np.array([1], np.int64)), put(np.ones(1, bool)), put(np.array([n], np.int64)), put_sorted(words), put_planes(np.arange(len(words))), put_planes(rank)]
+    asked = [{"asker": i, "kind": katz.COUNT + 1, "keys": put_sorted(words[x::2]), "said": [packed(np.full(len(words[x::2]), x))]} for i, x in enumerate((0, 1, 1))]
+    sizes = []
+    for name in ("unique", "argsort"):
+        plain = getattr(np, name)
+        monkeypatch.setattr(np, name, lambda x, *a, plain=plain, **k: sizes.append(len(x)) or plain(x, *a, **k))
+    b = katz.Block({"asker": 0, "told": told})
+    assert [len(b.grow().hashes) for _ in range(2)] == [len(set(zip([-1, *rank], rank))), len(set(zip([-1, -1, *rank], [-1, *rank], rank)))]
+    g = Gathered(asked)
+    owners = [katz.get(a[3][-1][2:], np.uint8).sum() for a in g.answers(0, [], np.ones(len(g.keys), bool))]
+    assert owners == [0, len(words) // 2, 0]
+    assert max(sizes, default=0) < 100
+
+
 def docs_column():
     from pyspark.sql import functions as F
 
